@@ -1,0 +1,5 @@
+"""No streaming operators.
+
+The workload this library reproduces is batch only: it has no watermarks,
+event-time windows, keyed state or late-data handling, so nothing is built here.
+"""
