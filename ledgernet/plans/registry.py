@@ -105,3 +105,79 @@ def q_tx_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_tx_features(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- A8-A15 egonet
+from ledgernet.operators import egonet as ego  # noqa: E402
+
+
+def _ego_ctes(variant: str) -> str:
+    if variant == "multi":
+        g = "SELECT source, target, count(*) AS c, sum(amount) AS a FROM e GROUP BY source, target"
+    else:
+        g = "SELECT DISTINCT source, target, 1 AS c, 1.0 AS a FROM e"
+    return f"""
+g AS ({g}),
+gn AS (SELECT source AS node FROM g UNION SELECT target FROM g),
+m AS (SELECT node AS u, node AS v FROM gn UNION SELECT source, target FROM g),
+ee AS (SELECT m1.u, g.source, g.target, g.c, g.a FROM m m1 JOIN g ON m1.v = g.source
+       JOIN m m2 ON m2.u = m1.u AND m2.v = g.target),
+ein AS (SELECT u, target AS v, sum(c) AS ci, sum(a) AS ai FROM ee GROUP BY u, target),
+eout AS (SELECT u, source AS v, sum(c) AS co, sum(a) AS ao FROM ee GROUP BY u, source),
+deg AS (SELECT node, sum(dout) AS dout, sum(din) AS din FROM
+        (SELECT source AS node, c AS dout, 0 AS din FROM g UNION ALL SELECT target, 0, c FROM g) GROUP BY node),
+x AS (SELECT m.u, m.v, CAST(coalesce(ein.ci, 0) AS BIGINT) AS ci, CAST(coalesce(eout.co, 0) AS BIGINT) AS co,
+             CAST(coalesce(ein.ai, 0) AS DOUBLE) AS ai, CAST(coalesce(eout.ao, 0) AS DOUBLE) AS ao,
+             CAST(d.din AS BIGINT) AS din, CAST(d.dout AS BIGINT) AS dout
+      FROM m LEFT JOIN ein ON ein.u = m.u AND ein.v = m.v
+             LEFT JOIN eout ON eout.u = m.u AND eout.v = m.v
+             JOIN deg d ON d.node = m.v)"""
+
+
+def _ego_select(variant: str) -> str:
+    nv = "CASE WHEN v <> u THEN"
+    stats = [stats_sql(f"{nv} CAST(ci + co AS DOUBLE) END", "neighbor_degree")]
+    if variant == "multi":
+        stats.append(stats_sql(f"{nv} ai + ao END", "neighbor_w_degree"))
+    stats += [stats_sql(f"{nv} CAST(ci AS DOUBLE) END", "neighbor_in_degree"),
+              stats_sql(f"{nv} CAST(co AS DOUBLE) END", "neighbor_out_degree")]
+    within = "CAST(sum(co) AS BIGINT) AS no_edge_within_egonet"
+    if variant == "multi":
+        e_in = f"CAST(coalesce(sum({nv} din - ci END), 0) AS BIGINT)"
+        e_out = f"CAST(coalesce(sum({nv} dout - co END), 0) AS BIGINT)"
+        head = [within, f"{e_in} AS no_edge_in_egonet", f"{e_out} AS no_edge_out_egonet",
+                f"{e_in} + {e_out} AS no_edge_all_egonet"]
+    else:
+        k = "count(CASE WHEN v <> u THEN 1 END)"
+        din_u = "max(CASE WHEN v = u THEN din END)"
+        dout_u = "max(CASE WHEN v = u THEN dout END)"
+        ci_u = "max(CASE WHEN v = u THEN ci END)"
+        e_in = f"CAST({k} * ({din_u} - {ci_u}) AS BIGINT)"
+        e_out = f"CAST({k} * ({dout_u} - {dout_u}) AS BIGINT)"
+        head = [f"CAST({din_u} + {dout_u} AS BIGINT) AS degree", f"CAST({din_u} AS BIGINT) AS in_degree",
+                f"CAST({dout_u} AS BIGINT) AS out_degree", within,
+                f"{e_in} AS no_edge_in_egonet", f"{e_out} AS no_edge_out_egonet",
+                f"{e_in} + {e_out} AS no_edge_all_egonet"]
+    return ",\n  ".join(["u AS node"] + head + stats)
+
+
+def ego_sql(variant: str) -> str:
+    cols = ego.MULTI_EGO_COLUMNS if variant == "multi" else ego.SIMPLE_EGO_COLUMNS
+    doubles = [c for c in cols if c.split("_")[0] in ("avg", "min", "max", "sum", "std", "ent")]
+    return rounded_sql(f"""
+WITH e AS {E},
+{_ego_ctes(variant)}
+SELECT {_ego_select(variant)}
+FROM x GROUP BY u""", doubles)
+
+
+@register("egonet_multigraph", ego_sql("multi"))
+def q_egonet_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J8 + A8-A12: multigraph egonet edge counts and neighbour degree statistics."""
+    return rounded(ego.egonet_features(fx.tx_edges(spark, sf_dir), "multi"))
+
+
+@register("egonet_simple", ego_sql("simple"))
+def q_egonet_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simple-graph degrees, anchor-based egonet counts, neighbour stats."""
+    return rounded(ego.egonet_features(fx.tx_edges(spark, sf_dir), "simple"))
