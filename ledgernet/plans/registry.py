@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgernet.catalog import stat_columns
 from ledgernet.functions.stats import stats_sql
@@ -103,8 +104,6 @@ def q_tx_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tx.transaction_features(fx.tx_edges(spark, sf_dir)))
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q_tx_features(spark, sf_dir)
 
 
 # ---------------------------------------------------------------- A8-A15 egonet
@@ -181,3 +180,176 @@ def q_egonet_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_egonet_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simple-graph degrees, anchor-based egonet counts, neighbour stats."""
     return rounded(ego.egonet_features(fx.tx_edges(spark, sf_dir), "simple"))
+
+
+# ---------------------------------------------------------------- A16-A18 feature tables
+from ledgernet.catalog import FEATURE_CATALOGUE, SIMPLE_FEATURES  # noqa: E402
+from ledgernet.operators import features as feat  # noqa: E402
+from ledgernet.operators import graph as gr  # noqa: E402
+from ledgernet.operators.scaling import minmax_scale, zscore  # noqa: E402
+
+_COUNT_COLS = {"degree", "in_degree", "out_degree", "no_edge_within_egonet", "no_edge_in_egonet",
+               "no_edge_out_egonet", "no_edge_all_egonet"}
+_MULTI_NAMES = [n for n, _ in FEATURE_CATALOGUE if n not in ("node", "address", "isp", "is_anchor")]
+
+
+def _ego_cte(variant: str, name: str) -> str:
+    return f"""{_ego_ctes(variant)},
+{name} AS (SELECT {_ego_select(variant)} FROM x GROUP BY u)"""
+
+
+def node_features_sql(anchors_only: bool = False) -> str:
+    src = {c: ("amt" if c in ("degree", "in_degree", "out_degree") or "amount" in c
+               else "iv" if "interval" in c else "ego") for c in _MULTI_NAMES}
+    cols = ", ".join(f"coalesce({src[c]}.{c}, 0) AS {c}" for c in _MULTI_NAMES)
+    where = "WHERE n.is_anchor = 1" if anchors_only else ""
+    return rounded_sql(f"""
+WITH nodes AS {N}, {_INC_SQL},
+{_amount_sql()},
+{_interval_sql()},
+{_ego_cte('multi', 'ego')}
+SELECT n.node, n.address, n.isp, n.is_anchor, {cols}
+FROM nodes n LEFT JOIN amt ON amt.node = n.node LEFT JOIN iv ON iv.node = n.node
+     LEFT JOIN ego ON ego.node = n.node {where}""", [c for c in _MULTI_NAMES if c not in _COUNT_COLS])
+
+
+@register("node_features", node_features_sql())
+def q_node_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 67-feature table for every node (zeros for isolated nodes)."""
+    return rounded(feat.node_features(fx.tx_edges(spark, sf_dir), fx.tx_nodes(spark, sf_dir)))
+
+
+@register("anchor_node_features", node_features_sql(anchors_only=True))
+def q_anchor_node_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1 + J3 + A16: features of the anchor nodes only (roots semi-joined first)."""
+    nodes = fx.tx_nodes(spark, sf_dir)
+    return rounded(feat.node_features(fx.tx_edges(spark, sf_dir), nodes, roots=feat.anchors(nodes)))
+
+
+def _simple_features_sql(where: str = "") -> str:
+    cols = ", ".join(f"coalesce(ego.{c}, 0) AS {c}" for c in SIMPLE_FEATURES)
+    return f"""
+WITH e AS {E}, nodes AS {N},
+{_ego_cte('simple', 'ego')},
+sf AS (SELECT n.node, n.address, n.isp, n.is_anchor, {cols}
+       FROM nodes n LEFT JOIN ego ON ego.node = n.node {where})"""
+
+
+@register("anchor_simple_features", rounded_sql(
+    _simple_features_sql("WHERE n.is_anchor = 1") + "\nSELECT * FROM sf",
+    [c for c in SIMPLE_FEATURES if c not in _COUNT_COLS]))
+def q_anchor_simple_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """25 simple-graph features of the anchor nodes."""
+    nodes = fx.tx_nodes(spark, sf_dir)
+    return rounded(feat.simple_node_features(fx.tx_edges(spark, sf_dir), nodes, roots=feat.anchors(nodes)))
+
+
+def _zscore_select(cols: list[str]) -> str:
+    out = []
+    for c in cols:
+        mu, sd = f"avg(CAST({c} AS DOUBLE)) OVER ()", f"stddev_pop(CAST({c} AS DOUBLE)) OVER ()"
+        out.append(f"CASE WHEN {sd} <> 0 THEN (CAST({c} AS DOUBLE) - {mu}) / {sd} "
+                   f"ELSE CAST({c} AS DOUBLE) - {mu} END AS {c}")
+    return ", ".join(out)
+
+
+@register("simple_features_scaled", rounded_sql(
+    _simple_features_sql() + f"\nSELECT node, address, isp, is_anchor, {_zscore_select(SIMPLE_FEATURES)} FROM sf",
+    list(SIMPLE_FEATURES)))
+def q_simple_features_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A18 + M3: simple-graph features of all nodes, z-scored over all rows."""
+    f = feat.simple_node_features(fx.tx_edges(spark, sf_dir), fx.tx_nodes(spark, sf_dir))
+    return rounded(zscore(f, list(SIMPLE_FEATURES)))
+
+
+def _minmax_select(cols: list[str]) -> str:
+    out = []
+    for c in cols:
+        mn, mx = f"min(CAST({c} AS DOUBLE)) OVER ()", f"max(CAST({c} AS DOUBLE)) OVER ()"
+        out.append(f"CASE WHEN {mx} - {mn} <> 0 THEN (CAST({c} AS DOUBLE) - {mn}) / ({mx} - {mn}) "
+                   f"ELSE CAST({c} AS DOUBLE) - {mn} END AS {c}")
+    return ", ".join(out)
+
+
+@register("anchor_features_minmax", rounded_sql(
+    _simple_features_sql("WHERE n.is_anchor = 1") + f"\nSELECT node, address, isp, is_anchor, "
+    f"{_minmax_select(SIMPLE_FEATURES)} FROM sf", list(SIMPLE_FEATURES)))
+def q_anchor_features_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1/M2: min-max scaling of the anchor feature table (constant column -> 0)."""
+    nodes = fx.tx_nodes(spark, sf_dir)
+    f = feat.simple_node_features(fx.tx_edges(spark, sf_dir), nodes, roots=feat.anchors(nodes))
+    return rounded(minmax_scale(f, list(SIMPLE_FEATURES)))
+
+
+# ---------------------------------------------------------------- G1-G9 graph construction
+@register("weighted_edge_list", rounded_sql(f"""
+WITH e AS {E},
+g AS (SELECT source, target, count(*) AS n_tx, sum(coalesce(amount, 0)) AS amount,
+             max(coalesce("timestamp", 0)) AS ts FROM e GROUP BY source, target),
+tot AS (SELECT node, sum(amount) AS at, sum(CAST(ts AS DOUBLE)) AS tt, count(*) AS d FROM
+        (SELECT source AS node, amount, ts FROM g UNION ALL SELECT target, amount, ts FROM g) GROUP BY node)
+SELECT g.source, g.target,
+  (CASE WHEN tot.at <> 0 THEN g.amount / tot.at ELSE 0 END)
+  * (CASE WHEN tot.tt <> 0 THEN CAST(g.ts AS DOUBLE) / tot.tt ELSE 0 END)
+  * (CAST(g.n_tx AS DOUBLE) / tot.d) AS weight
+FROM g JOIN tot ON tot.node = g.source""", ["weight"], digits=15))
+def q_weighted_edge_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G4 + G5: collapsed, normalised, weighted simple edge list."""
+    w = gr.weighted_edge_list(fx.tx_edges(spark, sf_dir))
+    # weights are products of three shares (tiny): compare at 15 decimals
+    return w.select("source", "target", (F.round("weight", 15) + F.lit(0.0)).alias("weight"))
+
+
+@register("unweighted_edge_list", f"""
+WITH e AS {E} SELECT DISTINCT source, target, 1.0 AS weight FROM e""")
+def q_unweighted_edge_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G2 + G3: simple edges with unit weight."""
+    return gr.unweighted_edge_list(fx.tx_edges(spark, sf_dir))
+
+
+@register("out_degrees", f"""
+WITH e AS {E}, nodes AS {N},
+d AS (SELECT source AS node, count(DISTINCT target) AS out_degree FROM e GROUP BY source)
+SELECT n.node, CAST(coalesce(d.out_degree, 0) AS BIGINT) AS out_degree,
+       CAST(floor(log2(coalesce(d.out_degree, 0) + 1)) AS INTEGER) AS log_degree
+FROM nodes n LEFT JOIN d ON d.node = n.node""")
+def q_out_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-degree and log bucket per node."""
+    return gr.out_degrees(fx.tx_nodes(spark, sf_dir), fx.tx_edges(spark, sf_dir))
+
+
+@register("graph_summary", f"""
+WITH e AS {E}
+SELECT (SELECT count(*) FROM (SELECT source AS n FROM e UNION SELECT target FROM e)) AS n_nodes,
+       CAST(count(*) AS BIGINT) AS n_edges,
+       (SELECT count(*) FROM (SELECT DISTINCT source, target FROM e)) AS n_pairs,
+       CAST(sum(CASE WHEN source = target THEN 1 ELSE 0 END) AS BIGINT) AS n_self_loop_tx
+FROM e""")
+def q_graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node / transaction / pair / self-loop counts."""
+    return gr.graph_summary(fx.tx_edges(spark, sf_dir))
+
+
+@register("collapsed_edges", rounded_sql(f"""
+WITH e AS {E}
+SELECT source, target, count(*) AS n_tx, sum(coalesce(amount, 0)) AS amount,
+       max(coalesce("timestamp", 0)) AS "timestamp" FROM e GROUP BY source, target""", ["amount"]))
+def q_collapsed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parallel transactions collapsed with multiplicity, amount, latest time."""
+    return rounded(gr.collapse_edges(fx.tx_edges(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- S3/S4/J1/P6/P7 published set
+@register("labeled_published", rounded_sql(f"""
+WITH f AS {fx.pub_features_sql()}, c AS {fx.PUB_CLASSES_SQL}
+SELECT f.*, c."txId", CASE WHEN c.label = 'unknown' THEN '0' ELSE c.label END AS label,
+       CAST(CASE WHEN c.label = '1' THEN 1 ELSE 0 END AS INTEGER) AS y
+FROM f LEFT JOIN c ON f.address = c."txId\"""", [f"f_{i}" for i in range(64)]))
+def q_labeled_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 + S4 + J1 + P6 + P7: positional published features with recoded labels."""
+    lab = feat.labeled_published(fx.pub_features(spark, sf_dir), fx.pub_classes(spark, sf_dir))
+    return rounded(lab.withColumn("y", feat.binary_label("label")))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q_node_features(spark, sf_dir)
