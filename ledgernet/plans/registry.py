@@ -351,5 +351,106 @@ def q_labeled_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(lab.withColumn("y", feat.binary_label("label")))
 
 
+
+# ---------------------------------------------------------------- M4 / U1 sampling
+from ledgernet.functions.draws import uniform_sql  # noqa: E402
+from ledgernet.operators import metrics as met  # noqa: E402
+from ledgernet.operators import sampling as smp  # noqa: E402
+
+
+@register("stratified_split", f"""
+WITH a AS (SELECT * FROM {N} WHERE is_anchor = 1),
+c AS (SELECT isp, count(*) AS n FROM a GROUP BY isp),
+t AS (SELECT CAST(ceil(count(*) * 0.2) AS BIGINT) AS n_draws, count(*) AS tot FROM a),
+al AS (SELECT c.isp, floor(t.n_draws * c.n / t.tot) AS fl,
+              t.n_draws * c.n / t.tot - floor(t.n_draws * c.n / t.tot) AS rem, t.n_draws FROM c, t),
+al2 AS (SELECT isp, fl, n_draws - sum(fl) OVER () AS need,
+               row_number() OVER (ORDER BY rem DESC, isp ASC) AS rk FROM al),
+k AS (SELECT isp, CAST(fl + CASE WHEN rk <= need THEN 1 ELSE 0 END AS BIGINT) AS k FROM al2),
+r AS (SELECT a.node, a.isp, row_number() OVER (PARTITION BY a.isp ORDER BY {uniform_sql(42, 'a.node')}, a.node) AS rn
+      FROM a)
+SELECT r.node, r.isp, r.rn <= k.k AS is_test FROM r JOIN k ON k.isp = r.isp""")
+def q_stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4: exact stratified 80/20 split of the anchor nodes by class, seed 42."""
+    a = feat.anchors(fx.tx_nodes(spark, sf_dir)).select("node", "isp")
+    return smp.stratified_split(a, "isp", "node", seed=42).select("node", "isp", "is_test")
+
+
+_LAB_SQL = f"""lab AS (SELECT f.address, c.label FROM {fx.pub_features_sql(1)} f
+               LEFT JOIN {fx.PUB_CLASSES_SQL} c ON f.address = c."txId")"""
+
+
+@register("balanced_undersample", f"""
+WITH {_LAB_SQL},
+reps AS (SELECT range AS rep FROM range(50)),
+pos AS (SELECT address, label FROM lab WHERE label = '1'),
+neg AS (SELECT address, label FROM lab WHERE label = '2'),
+rk AS (SELECT reps.rep, neg.address, neg.label,
+              row_number() OVER (PARTITION BY reps.rep ORDER BY
+                (('0x' || substr(md5(concat_ws('|', CAST(reps.rep + 42 AS VARCHAR), CAST(neg.address AS VARCHAR))), 1, 13))::BIGINT
+                 / 4503599627370496.0), neg.address) AS rn
+       FROM neg, reps)
+SELECT reps.rep, pos.address, pos.label FROM pos, reps
+UNION ALL
+SELECT rep, address, label FROM rk WHERE rn <= (SELECT count(*) FROM pos)""")
+def q_balanced_undersample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U1 + U2 + O4: 50 balanced repetitions (all illicit + as many random licit)."""
+    lab = feat.labeled_published(fx.pub_features(spark, sf_dir, 1), fx.pub_classes(spark, sf_dir))
+    s = smp.balanced_undersample(lab.select("address", "label"), "label", "address", repetitions=50)
+    return s.select("rep", "address", "label")
+
+
+# ---------------------------------------------------------------- M8-M10 metrics
+_PRED_SQL = f"""{_LAB_SQL},
+d AS (SELECT CAST(CASE WHEN lab.label = '1' THEN 1 ELSE 0 END AS INTEGER) AS y,
+             CAST(f.f_0 AS DOUBLE) AS s FROM lab JOIN {fx.pub_features_sql(1)} f ON f.address = lab.address)"""
+
+
+@register("binary_metrics", rounded_sql(f"""
+WITH {_PRED_SQL},
+ps AS (SELECT s, sum(y) AS pos, sum(1 - y) AS neg FROM d GROUP BY s),
+cu AS (SELECT s, pos, neg, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+              AS below FROM ps),
+auc AS (SELECT sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) AS auc FROM cu),
+cm AS (SELECT count(CASE WHEN y = 1 AND s > 0 THEN 1 END) AS tp, count(CASE WHEN y <> 1 AND s > 0 THEN 1 END) AS fp,
+              count(CASE WHEN y = 1 AND NOT s > 0 THEN 1 END) AS fn,
+              count(CASE WHEN y = CAST(s > 0 AS INTEGER) THEN 1 END) AS ok, count(*) AS n FROM d)
+SELECT CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS prec,
+       CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS rec,
+       CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1,
+       ok / n AS acc, auc.auc FROM cm, auc""", ["prec", "rec", "f1", "acc", "auc"]))
+def q_binary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8 + M10: binary precision/recall/F1/accuracy and tie-aware ROC-AUC of the
+    rule ``f_0 > 0`` against the illicit label (scores taken from the data)."""
+    lab = feat.labeled_published(fx.pub_features(spark, sf_dir, 1), fx.pub_classes(spark, sf_dir))
+    d = lab.select(feat.binary_label("label").alias("y"), F.col("f_0").alias("score"),
+                   (F.col("f_0") > 0).cast("int").alias("pred"))
+    return rounded(met.binary_report(d).crossJoin(met.roc_auc(d)))
+
+
+@register("macro_metrics", rounded_sql(f"""
+WITH lab AS (SELECT f.address, CASE WHEN c.label = 'unknown' THEN '0' ELSE c.label END AS y, f.f_0 AS s
+             FROM {fx.pub_features_sql(1)} f LEFT JOIN {fx.PUB_CLASSES_SQL} c ON f.address = c."txId"),
+d AS (SELECT y, CASE WHEN s > 0.5 THEN '1' WHEN s > 0 THEN '2' ELSE '0' END AS p FROM lab),
+cls AS (SELECT y AS c FROM d UNION SELECT p FROM d),
+pc AS (SELECT cls.c, CAST(count(CASE WHEN y = c AND p = c THEN 1 END) AS DOUBLE) AS tp,
+              CAST(count(CASE WHEN y <> c AND p = c THEN 1 END) AS DOUBLE) AS fp,
+              CAST(count(CASE WHEN y = c AND p <> c THEN 1 END) AS DOUBLE) AS fn
+       FROM cls, d GROUP BY cls.c)
+SELECT avg(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END) AS prec,
+       avg(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END) AS rec,
+       avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END) AS f1,
+       (SELECT avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END) FROM d) AS acc
+FROM pc""", ["prec", "rec", "f1", "acc"]))
+def q_macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: macro precision/recall/F1 and accuracy over three classes for a
+    threshold rule on ``f_0``."""
+    lab = feat.labeled_published(fx.pub_features(spark, sf_dir, 1), fx.pub_classes(spark, sf_dir))
+    s = F.col("f_0")
+    d = lab.select(F.col("label").alias("y"),
+                   F.when(s > 0.5, "1").when(s > 0, "2").otherwise("0").alias("pred"))
+    return rounded(met.macro_report(d))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_node_features(spark, sf_dir)
