@@ -452,5 +452,151 @@ def q_macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(met.macro_report(d))
 
 
+
+# ---------------------------------------------------------------- T1-T7 balls and role ids
+from ledgernet.operators import traverse as trv  # noqa: E402
+from ledgernet.operators import walks as wk  # noqa: E402
+
+K_HOPS = 4
+_GRAPH_SQL = f"""e AS {E},
+se AS (SELECT DISTINCT source, target FROM e),
+gn AS (SELECT source AS node FROM se UNION SELECT target FROM se)"""
+_BALL_SQL = f"""r(root, node, layer) AS (
+  SELECT node, node, 0 FROM gn
+  UNION SELECT r.root, se.target, r.layer + 1 FROM r JOIN se ON se.source = r.node WHERE r.layer < {K_HOPS}),
+ball AS (SELECT root, node, CAST(min(layer) AS INTEGER) AS layer FROM r GROUP BY root, node)"""
+
+
+def _ball(spark: SparkSession, sf_dir: str):
+    edges = fx.tx_edges(spark, sf_dir)
+    simple = gr.simple_edges(edges)
+    roots = gr.graph_nodes(simple)
+    return simple, roots, trv.k_hop_ball(simple, roots, K_HOPS)
+
+
+@register("k_hop_ball", f"""WITH RECURSIVE {_GRAPH_SQL}, {_BALL_SQL}
+SELECT root, node, layer FROM ball""")
+def q_k_hop_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """4-hop out-ball with BFS layer of every node of the graph."""
+    return _ball(spark, sf_dir)[2]
+
+
+@register("in_ball_successors", f"""WITH RECURSIVE {_GRAPH_SQL}, {_BALL_SQL},
+c AS (SELECT b.root, b.node, count(*) AS n FROM ball b JOIN se ON se.source = b.node
+      JOIN ball b2 ON b2.root = b.root AND b2.node = se.target GROUP BY b.root, b.node)
+SELECT b.root, b.node, b.layer, CAST(coalesce(c.n, 0) AS BIGINT) AS n_in_ball
+FROM ball b LEFT JOIN c ON c.root = b.root AND c.node = b.node""")
+def q_in_ball_successors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Successors of each ball node inside the same ball."""
+    simple, _, ball = _ball(spark, sf_dir)
+    return trv.in_ball_successors(ball, simple)
+
+
+@register("sp_roles", f"""WITH RECURSIVE {_GRAPH_SQL}, {_BALL_SQL},
+d AS (SELECT gn.node, CAST(floor(log2(count(se.target) + 1)) AS INTEGER) AS ld
+      FROM gn LEFT JOIN se ON se.source = gn.node GROUP BY gn.node)
+SELECT b.root, b.node, b.layer,
+       concat_ws(':', 'sp', CAST(dr.ld AS VARCHAR), CAST(b.layer AS VARCHAR), CAST(dn.ld AS VARCHAR)) AS token
+FROM ball b JOIN d dr ON dr.node = b.root JOIN d dn ON dn.node = b.node""")
+def q_sp_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4 + G8: shortest-path role ids (log out-degree of root, layer, of node)."""
+    simple, roots, ball = _ball(spark, sf_dir)
+    return trv.sp_roles(ball, gr.out_degrees(roots, simple))
+
+
+def _wl_sql() -> str:
+    xs = ", ".join(f"CAST(floor(log2(count(CASE WHEN a.layer = {l} THEN 1 END) + 1)) AS BIGINT)"
+                   for l in range(K_HOPS + 1))
+    zeros = ", ".join("0" for _ in range(K_HOPS + 1))
+    return f"""WITH RECURSIVE {_GRAPH_SQL}, {_BALL_SQL},
+xc AS (SELECT w.root, w.node, list_value({xs}) AS x
+       FROM ball w JOIN se ON se.target = w.node JOIN ball a ON a.root = w.root AND a.node = se.source
+       GROUP BY w.root, w.node),
+xv AS (SELECT b.root, b.node, b.layer, coalesce(xc.x, list_value({zeros})::BIGINT[]) AS x
+       FROM ball b LEFT JOIN xc ON xc.root = b.root AND xc.node = b.node)
+SELECT v.root, v.node, v.layer,
+  'wl:(' || array_to_string(rx.x, ',') || '):' || CAST(v.layer AS VARCHAR) || ':(' || array_to_string(v.x, ',') || ')'
+  AS token
+FROM xv v JOIN xv rx ON rx.root = v.root AND rx.node = v.root"""
+
+
+@register("wl_roles", _wl_sql())
+def q_wl_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: Weisfeiler-Lehman style role ids from in-ball predecessor counts per layer."""
+    simple, _, ball = _ball(spark, sf_dir)
+    return trv.wl_roles(ball, simple, K_HOPS)
+
+
+# ---------------------------------------------------------------- R1-R8 transitions and walks
+_WEL_SQL = f"""e AS {E},
+g AS (SELECT source, target, count(*) AS n_tx, sum(coalesce(amount, 0)) AS amount,
+             max(coalesce("timestamp", 0)) AS ts FROM e GROUP BY source, target),
+tot AS (SELECT node, sum(amount) AS at, sum(CAST(ts AS DOUBLE)) AS tt, count(*) AS d FROM
+        (SELECT source AS node, amount, ts FROM g UNION ALL SELECT target, amount, ts FROM g) GROUP BY node),
+wel AS (SELECT g.source, g.target,
+  (CASE WHEN tot.at <> 0 THEN g.amount / tot.at ELSE 0 END)
+  * (CASE WHEN tot.tt <> 0 THEN CAST(g.ts AS DOUBLE) / tot.tt ELSE 0 END)
+  * (CAST(g.n_tx AS DOUBLE) / tot.d) AS weight
+  FROM g JOIN tot ON tot.node = g.source),
+pk AS (SELECT source, count(*) AS d, sum(weight) AS tot FROM wel GROUP BY source),
+c AS (SELECT wel.source, wel.target AS next,
+             CASE WHEN coalesce(pk.tot, 0) = 0 THEN 1.0 ELSE wel.weight END AS w,
+             CASE WHEN coalesce(pk.tot, 0) = 0 THEN CAST(pk.d AS DOUBLE) ELSE pk.tot END AS tt
+      FROM wel JOIN pk ON pk.source = wel.source),
+t AS (SELECT source, next, w,
+  coalesce(sum(w) OVER (PARTITION BY source ORDER BY next ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / tt AS lo,
+  CASE WHEN row_number() OVER (PARTITION BY source ORDER BY next DESC) = 1 THEN 1.0
+       ELSE sum(w) OVER (PARTITION BY source ORDER BY next ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / tt END AS hi
+  FROM c)"""
+
+NUM_WALKS, WALK_LEN, SEED = 2, 5, 42
+
+
+@register("transition_table", rounded_sql(f"""WITH {_WEL_SQL}
+SELECT source, next, lo, hi FROM t""", ["lo", "hi"], digits=12))
+def q_transition_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cumulative first-step probabilities per node (weighted graph)."""
+    w = gr.weighted_edge_list(fx.tx_edges(spark, sf_dir))
+    cum = wk.cumulative_table(w.select("source", F.col("target").alias("next"), "weight"), ["source"], "next")
+    return rounded(cum.select("source", "next", "lo", "hi"), 12)
+
+
+def _walks_sql() -> str:
+    steps = []
+    for i in range(1, WALK_LEN):
+        u = uniform_sql(SEED, "w.root", "w.walk_no", f"{i}")
+        steps.append(f"""w{i} AS (SELECT w.root, w.walk_no, coalesce(t.next, w.cur) AS cur,
+  CASE WHEN t.next IS NULL THEN w.walk ELSE list_append(w.walk, t.next) END AS walk
+  FROM w{i - 1} w LEFT JOIN t ON t.source = w.cur AND t.lo <= {u} AND {u} < t.hi)""")
+    return f"""WITH {_WEL_SQL},
+gn AS (SELECT source AS node FROM wel UNION SELECT target FROM wel),
+w0 AS (SELECT gn.node AS root, wn.walk_no, gn.node AS cur, [gn.node] AS walk
+       FROM gn, (SELECT range AS walk_no FROM range({NUM_WALKS})) wn),
+{",".join(steps)}
+SELECT root, walk_no, array_to_string(walk, ' ') AS walk FROM w{WALK_LEN - 1}"""
+
+
+def _walk_text(walks: DataFrame) -> DataFrame:
+    return walks.select("root", F.col("walk_no").cast("long").alias("walk_no"),
+                        F.concat_ws(" ", F.transform("walk", lambda x: x.cast("string"))).alias("walk"))
+
+
+@register("random_walks", _walks_sql())
+def q_random_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 + R5 + R7 + R8: 2 weighted first-order walks of length 5 from every node."""
+    w = gr.weighted_edge_list(fx.tx_edges(spark, sf_dir))
+    roots = gr.graph_nodes(w)
+    return _walk_text(wk.simulate_walks(w, roots, NUM_WALKS, WALK_LEN, seed=SEED))
+
+
+@register("second_order_walks")
+def q_second_order_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2 + R5: node2vec second-order walks (p = 0.5, q = 2) by exact rejection
+    sampling; checked by invariants and a distribution test, not SQL."""
+    w = gr.weighted_edge_list(fx.tx_edges(spark, sf_dir))
+    roots = gr.graph_nodes(w)
+    return _walk_text(wk.simulate_walks(w, roots, NUM_WALKS, WALK_LEN, seed=SEED, p=0.5, q=2.0))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_node_features(spark, sf_dir)
