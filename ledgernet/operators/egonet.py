@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from ledgernet.catalog import stat_columns
 from ledgernet.functions.stats import six_stat_aggs
+from ledgernet.session import cut_lineage
 
 
 def _collapsed(edges: DataFrame, variant: str) -> DataFrame:
@@ -167,7 +168,9 @@ SIMPLE_EGO_COLUMNS = (["degree", "in_degree", "out_degree",
 def egonet_features(edges: DataFrame, variant: str = "multi", nodes: DataFrame | None = None) -> DataFrame:
     """A8-A12 (``multi``) or A13-A15 (``simple``) for every node of the graph,
     or for every row of ``nodes`` (zeros for nodes without edges)."""
-    g = _collapsed(edges, variant)
+    # the collapsed graph feeds ~8 branches (own, reciprocal, loops, triangle
+    # listing, degrees): materialise it once instead of re-scanning the edges
+    g = cut_lineage(_collapsed(edges, variant))
     degs = node_degrees(g)
     nb = neighbour_table(g).join(
         degs.select(F.col("node").alias("v"), F.col("dout").alias("v_dout"), F.col("din").alias("v_din")), "v")

@@ -9,6 +9,7 @@ data.
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -168,20 +169,30 @@ def node2vec_baseline(edge_list: DataFrame, nodes: DataFrame, exp_id: str, dimen
 
 # ------------------------------------------------------------------ L9
 def published_baseline(published: DataFrame, classes: DataFrame, repetitions: int = 50, base_seed: int = 42,
-                       flag: str = "ellip"):
+                       flag: str = "ellip", parallelism: int = 8):
     """Labelled published features; per repetition a balanced sample, a
     stratified split with seed ``base_seed + i`` and RF + LR.  Returns the
-    stats rows of all repetitions."""
+    stats rows of all repetitions (materialised).
+
+    All samples are drawn in one plan and checkpointed; the repetitions are
+    independent Spark jobs submitted from ``parallelism`` driver threads (the
+    same pattern as ``CrossValidator(parallelism=...)``)."""
     lab = feat.labeled_published(published, classes)
-    samples = smp.balanced_undersample(lab, "label", "address", repetitions=repetitions,
-                                       base_seed=base_seed).cache()
+    samples = cut_lineage(smp.balanced_undersample(lab, "label", "address", repetitions=repetitions,
+                                                   base_seed=base_seed))
     cols = [c for c in published.columns if c not in PUBLISHED_META]
-    out = None
-    for i in range(repetitions):
+
+    def one(i: int) -> DataFrame:
         s = samples.filter(F.col("rep") == i).select(F.col("address").alias("node"),
                                                      feat.binary_label("label").alias("y"), *cols)
         stats, _, _ = classify_table(s, cols, flag, f"{i};elliptic", seed=base_seed + i)
-        out = stats if out is None else out.unionByName(stats)
+        return cut_lineage(stats)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        parts = list(pool.map(one, range(repetitions)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 

@@ -598,5 +598,87 @@ def q_second_order_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _walk_text(wk.simulate_walks(w, roots, NUM_WALKS, WALK_LEN, seed=SEED, p=0.5, q=2.0))
 
 
+
+# ---------------------------------------------------------------- pipelines (rows-only checks)
+from ledgernet.operators import embed as emb  # noqa: E402
+from ledgernet.plans import pipelines as pl  # noqa: E402
+
+
+@register("structural_corpus_sp")
+def q_structural_corpus_sp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R9 + T4 + T7: ball-confined walks (length 10, 80 per node, k = 4) over the
+    weighted graph, relabelled with shortest-path role ids."""
+    w = gr.weighted_edge_list(fx.tx_edges(spark, sf_dir))
+    simple = w.select("source", "target")
+    roots = gr.graph_nodes(simple)
+    ball = trv.k_hop_ball(simple, roots, K_HOPS)
+    walks = wk.simulate_walks(w, roots, 80, 10, seed=SEED, ball=ball, until_k=K_HOPS)
+    roles = trv.sp_roles(ball, gr.out_degrees(roots, simple))
+    return trv.relabel_walks(walks, roles).select(
+        "root", F.col("walk_no").cast("long").alias("walk_no"), F.concat_ws(" ", "tokens").alias("walk"))
+
+
+@register("na_roles")
+def q_na_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 + T6 + P5: attribute role ids, attributes = the selected catalogue features."""
+    edges = fx.tx_edges(spark, sf_dir)
+    simple = gr.simple_edges(edges)
+    roots = gr.graph_nodes(simple)
+    attrs = feat.select_catalogue(feat.node_features(edges, fx.tx_nodes(spark, sf_dir)), selected_only=True)
+    ball = trv.k_hop_ball(simple, roots, K_HOPS)
+    return trv.na_roles(ball, simple, attrs, K_HOPS)
+
+
+@register("structural_embedding_wl")
+def q_structural_embedding_wl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L4 + E1 + E3 + E5: WL structural embedding with the reference defaults
+    (128 dims, walk length 10, 80 walks, window 10, k = 4, 5 epochs)."""
+    el = gr.weighted_edge_list(fx.tx_edges(spark, sf_dir))
+    out, _, _ = pl.structural_embedding(el, "wl")
+    return out
+
+
+@register("feature_classification")
+def q_feature_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L5 + M1 + M4-M8 + M10-M12: anchors' 67 features, min-max fitted on train,
+    RF and L1-LR; two stats rows."""
+    nodes = fx.tx_nodes(spark, sf_dir)
+    features = feat.node_features(fx.tx_edges(spark, sf_dir), nodes)
+    stats, _ = pl.feature_classification(features, nodes, "0;fe")
+    return stats
+
+
+@register("feature_ranking")
+def q_feature_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M12 + O1: RF impurity importance of the 67 features, ranked."""
+    nodes = fx.tx_nodes(spark, sf_dir)
+    features = feat.node_features(fx.tx_edges(spark, sf_dir), nodes)
+    _, ranking = pl.feature_classification(features, nodes, "0;fe")
+    return ranking
+
+
+@register("node2vec_classification")
+def q_node2vec_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L8 + E2 + E4 + L6: node2vec walks (64 dims, length 5, 20 walks, window 10,
+    5 epochs) -> skip-gram -> anchors -> RF and L1-LR."""
+    el = gr.weighted_edge_list(fx.tx_edges(spark, sf_dir))
+    stats, _ = pl.node2vec_baseline(el, fx.tx_nodes(spark, sf_dir), "0;n2v")
+    return stats
+
+
+@register("published_baseline")
+def q_published_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """50 balanced repetitions on the published features; 100 stats rows."""
+    return pl.published_baseline(fx.pub_features(spark, sf_dir), fx.pub_classes(spark, sf_dir), repetitions=50)
+
+
+@register("feature_projection")
+def q_feature_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E6 (re-aimed) + M2 + F9: 2-D PCA projection of the scaled feature table,
+    shifted to be non-negative, as node attributes."""
+    f = feat.node_features(fx.tx_edges(spark, sf_dir), fx.tx_nodes(spark, sf_dir))
+    return emb.projection_2d(f, feat.feature_columns(f))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_node_features(spark, sf_dir)
