@@ -17,6 +17,7 @@ from ledgernet.catalog import stat_columns
 from ledgernet.functions.stats import stats_sql
 from ledgernet.operators import transactions as tx
 from ledgernet.plans.oracle import rounded, rounded_sql
+from ledgernet.session import cut_lineage
 from ledgernet.sources import fixtures as fx
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -680,5 +681,85 @@ def q_feature_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emb.projection_2d(f, feat.feature_columns(f))
 
 
+
+# ---------------------------------------------------------------- G7, P5, J2/L2, L3, M13, L7
+from ledgernet.catalog import selected_features  # noqa: E402
+from ledgernet.operators import classify as clf  # noqa: E402
+
+
+@register("out_adjacency", f"""
+WITH e AS {E}, se AS (SELECT DISTINCT source, target FROM e),
+d AS (SELECT source, count(*) AS out_degree FROM se GROUP BY source)
+SELECT se.source, se.target, d.out_degree FROM se JOIN d ON d.source = se.source""")
+def q_out_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G7 (long form): successor rows with the source's out-degree."""
+    return gr.out_adjacency(fx.tx_edges(spark, sf_dir))
+
+
+_SEL = selected_features()
+
+
+@register("selected_features", rounded_sql(f"""
+SELECT {", ".join(_SEL)} FROM ({node_features_sql()}) AS nf""",
+                                           [c for c in _SEL if c not in _COUNT_COLS and c != "node"]))
+def q_selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5: the catalogue's selected subset (node + 10 flagged features)."""
+    f = feat.node_features(fx.tx_edges(spark, sf_dir), fx.tx_nodes(spark, sf_dir))
+    return rounded(feat.select_catalogue(f, selected_only=True))
+
+
+_PUB1 = fx.pub_features_sql(4)
+
+
+@register("merged_published_features", rounded_sql(
+    _simple_features_sql() + f""",
+z AS (SELECT node, address, isp, is_anchor, {_zscore_select(SIMPLE_FEATURES)} FROM sf),
+pub AS (SELECT p.*, c."txId", CASE WHEN c.label = 'unknown' THEN '0' ELSE c.label END AS label
+        FROM {_PUB1} p LEFT JOIN {fx.PUB_CLASSES_SQL} c ON p.address = c."txId"),
+ps AS (SELECT * FROM pub WHERE address IN (SELECT address FROM z))
+SELECT z.*, CAST(ps."timestamp" AS DOUBLE) AS "timestamp", ps.f_0, ps.f_1, ps.f_2, ps.f_3, ps."txId", ps.label
+FROM z LEFT JOIN ps ON ps.address = z.address""", list(SIMPLE_FEATURES) + ["timestamp", "f_0", "f_1", "f_2", "f_3"]))
+def q_merged_published_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2 + A18 + M3 + J1 + J2 + J3: z-scored simple-graph features of all nodes
+    left-joined with the labelled published features of those nodes."""
+    _, _, merged = pl.simple_graph_features(fx.tx_edges(spark, sf_dir), fx.tx_nodes(spark, sf_dir),
+                                            fx.pub_features(spark, sf_dir, 4), fx.pub_classes(spark, sf_dir))
+    # published timestamps are all null here (no shared addresses): compare as double
+    return rounded(merged.withColumn("timestamp", F.col("timestamp").cast("double")))
+
+
+@register("embedding_node_list")
+def q_embedding_node_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3 + O2 + P4: node list for the attribute-aware embedding: node plus the
+    10 best-ranked features of the RF ranking."""
+    nodes = fx.tx_nodes(spark, sf_dir)
+    edges = fx.tx_edges(spark, sf_dir)
+    features = cut_lineage(feat.node_features(edges, nodes))
+    _, ranking = pl.feature_classification(features, nodes, "0;fe")
+    _, node_list = pl.graph_preparation(edges, features, ranking, top_k=10)
+    return node_list
+
+
+@register("importance_spread")
+def q_importance_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """100-tree forest importances with across-tree population std."""
+    nodes = fx.tx_nodes(spark, sf_dir)
+    f = feat.keep_keys(feat.node_features(fx.tx_edges(spark, sf_dir), nodes), feat.anchors(nodes), "node")
+    cols = feat.feature_columns(f)
+    tr = cut_lineage(clf.assemble(f.select("node", F.col("isp").alias("y"), *cols), cols)
+                     .select("node", "label", "features"))
+    return clf.importance_spread(tr, cols)
+
+
+@register("concat_classification")
+def q_concat_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L7 + J5 + M3: node2vec embeddings (64 dims) concatenated with z-scored
+    engineered features; RF and L1-LR on the anchors."""
+    edges, nodes = fx.tx_edges(spark, sf_dir), fx.tx_nodes(spark, sf_dir)
+    _, e = pl.node2vec_baseline(gr.weighted_edge_list(edges), nodes, "0;n2v")
+    features = cut_lineage(feat.node_features(edges, nodes))
+    return pl.concat_classification(cut_lineage(e), features, "0;concat", "concat", 64)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_node_features(spark, sf_dir)
