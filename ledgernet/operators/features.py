@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgernet.catalog import (FEATURE_CATALOGUE, META, MULTI_FEATURES, SIMPLE_FEATURES,
-                               published_feature_names, selected_features)
+from ledgernet.catalog import (FEATURE_CATALOGUE, META, SIMPLE_FEATURES, published_feature_names,
+                               selected_features)
 from ledgernet.operators import egonet as ego
 from ledgernet.operators import transactions as tx
 from ledgernet.operators.scaling import zscore
@@ -97,9 +97,8 @@ def merge_published(engineered: DataFrame, published: DataFrame) -> tuple[DataFr
     """J2 (+J3): published rows of the engineered nodes, and the engineered table
     left-joined with them on ``address``."""
     sel = keep_keys(published, engineered, "address")
-    pub = sel.select(*[F.col(c).alias(c if c == "address" else c) for c in sel.columns])
-    merged = engineered.join(pub, "address", "left")
-    return sel, merged.select(*engineered.columns, *[c for c in pub.columns if c != "address"])
+    merged = engineered.join(sel, "address", "left")
+    return sel, merged.select(*engineered.columns, *[c for c in sel.columns if c != "address"])
 
 
 def simple_features_all(edges: DataFrame, nodes: DataFrame, published: DataFrame):
@@ -115,5 +114,3 @@ def feature_columns(df: DataFrame, meta: list[str] = META) -> list[str]:
     """All columns but the metadata ones."""
     return [c for c in df.columns if c not in meta]
 
-
-MULTI_FEATURE_NAMES = MULTI_FEATURES

@@ -23,7 +23,7 @@ from ledgernet.operators import sampling as smp
 from ledgernet.operators import traverse as trv
 from ledgernet.operators import walks as wk
 from ledgernet.operators.scaling import minmax_scale, zscore
-from ledgernet.session import cut_lineage
+from ledgernet.session import cut_lineage, scratch_table
 
 
 # ------------------------------------------------------------------ L1 / L2
@@ -139,9 +139,9 @@ def embedding_classification(embeddings: DataFrame, nodes: DataFrame, exp_id: st
 
 
 def concat_classification(embeddings: DataFrame, features: DataFrame, exp_id: str, flag: str,
-                          dimensions: int, seed: int = 42, fit_on: str = "all"):
-    """Z-scored features (fitted on all rows, or ``fit_on='train'`` is not
-    offered here since the split follows the join) joined to embeddings."""
+                          dimensions: int, seed: int = 42):
+    """Engineered features z-scored over all rows (as the original workload
+    does, before the split) joined to the embeddings; anchors only."""
     cols = feat.feature_columns(features, META)
     z = zscore(features, cols)
     wide = emb.wide_embeddings(embeddings, dimensions)
@@ -178,8 +178,10 @@ def published_baseline(published: DataFrame, classes: DataFrame, repetitions: in
     independent Spark jobs submitted from ``parallelism`` driver threads (the
     same pattern as ``CrossValidator(parallelism=...)``)."""
     lab = feat.labeled_published(published, classes)
-    samples = cut_lineage(smp.balanced_undersample(lab, "label", "address", repetitions=repetitions,
-                                                   base_seed=base_seed))
+    # one plan draws all repetitions; written once partitioned by ``rep`` so
+    # each repetition reads only its own files
+    samples = scratch_table(smp.balanced_undersample(lab, "label", "address", repetitions=repetitions,
+                                                     base_seed=base_seed), ["rep"])
     cols = [c for c in published.columns if c not in PUBLISHED_META]
 
     def one(i: int) -> DataFrame:

@@ -590,13 +590,55 @@ def q_random_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _walk_text(wk.simulate_walks(w, roots, NUM_WALKS, WALK_LEN, seed=SEED))
 
 
-@register("second_order_walks")
+P2, Q2 = 0.5, 2.0
+
+
+def _second_order_sql() -> str:
+    inv_p, inv_q = 1.0 / P2, 1.0 / Q2
+    fmax = max(inv_p, 1.0, inv_q)
+
+    def acc(w: str, a: str) -> str:
+        ua = uniform_sql(SEED, f"{w}.root", f"{w}.walk_no", "{i}", a, "1")
+        return (f"(zt.zero_total OR {ua} < (CASE WHEN t.next = {w}.prev THEN {inv_p!r} "
+                f"WHEN se.source IS NOT NULL THEN 1.0 ELSE {inv_q!r} END) / {fmax!r})")
+
+    u1 = uniform_sql(SEED, "w.root", "w.walk_no", "1")
+    ctes = [f"""w1 AS (SELECT w.root, w.walk_no, CASE WHEN t.next IS NULL THEN w.prev ELSE w.cur END AS prev,
+  coalesce(t.next, w.cur) AS cur, CASE WHEN t.next IS NULL THEN w.walk ELSE list_append(w.walk, t.next) END AS walk
+  FROM w0 w LEFT JOIN t ON t.source = w.cur AND t.lo <= {u1} AND {u1} < t.hi)"""]
+    for i in range(2, WALK_LEN):
+        up0 = uniform_sql(SEED, "w.root", "w.walk_no", f"{i}", "0", "0")
+        upr = uniform_sql(SEED, "r.root", "r.walk_no", f"{i}", "r.a + 1", "0")
+        ctes.append(f"""att{i}(root, walk_no, prev, cur, walk, a, nxt, acc) AS (
+  SELECT w.root, w.walk_no, w.prev, w.cur, w.walk, 0, t.next, {acc('w', '0').replace('{i}', str(i))}
+  FROM w{i - 1} w JOIN t ON t.source = w.cur AND t.lo <= {up0} AND {up0} < t.hi
+  JOIN zt ON zt.source = w.cur LEFT JOIN se ON se.source = w.prev AND se.target = t.next
+  UNION ALL
+  SELECT r.root, r.walk_no, r.prev, r.cur, r.walk, r.a + 1, t.next, {acc('r', 'r.a + 1').replace('{i}', str(i))}
+  FROM att{i} r JOIN t ON t.source = r.cur AND t.lo <= {upr} AND {upr} < t.hi
+  JOIN zt ON zt.source = r.cur LEFT JOIN se ON se.source = r.prev AND se.target = t.next
+  WHERE NOT r.acc)""")
+        ctes.append(f"""w{i} AS (SELECT root, walk_no, cur AS prev, nxt AS cur, list_append(walk, nxt) AS walk
+  FROM att{i} WHERE acc
+  UNION ALL SELECT root, walk_no, prev, cur, walk FROM w{i - 1} w
+  WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.source = w.cur))""")
+    return f"""WITH RECURSIVE {_WEL_SQL},
+zt AS (SELECT source, coalesce(tot, 0) = 0 AS zero_total FROM pk),
+se AS (SELECT DISTINCT source, target FROM wel),
+gn AS (SELECT source AS node FROM wel UNION SELECT target FROM wel),
+w0 AS (SELECT gn.node AS root, wn.walk_no, CAST(NULL AS BIGINT) AS prev, gn.node AS cur, [gn.node] AS walk
+       FROM gn, (SELECT range AS walk_no FROM range({NUM_WALKS})) wn),
+{",".join(ctes)}
+SELECT root, walk_no, array_to_string(walk, ' ') AS walk FROM w{WALK_LEN - 1}"""
+
+
+@register("second_order_walks", _second_order_sql())
 def q_second_order_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2 + R5: node2vec second-order walks (p = 0.5, q = 2) by exact rejection
-    sampling; checked by invariants and a distribution test, not SQL."""
+    sampling with keyed draws (oracle: one recursive CTE over attempts per step)."""
     w = gr.weighted_edge_list(fx.tx_edges(spark, sf_dir))
     roots = gr.graph_nodes(w)
-    return _walk_text(wk.simulate_walks(w, roots, NUM_WALKS, WALK_LEN, seed=SEED, p=0.5, q=2.0))
+    return _walk_text(wk.simulate_walks(w, roots, NUM_WALKS, WALK_LEN, seed=SEED, p=P2, q=Q2))
 
 
 
