@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgernet.catalog import stat_columns
+from ledgernet.catalog import selected_features, stat_columns
 from ledgernet.functions.stats import stats_sql
 from ledgernet.operators import transactions as tx
 from ledgernet.plans.oracle import rounded, rounded_sql
@@ -199,19 +199,22 @@ def _ego_cte(variant: str, name: str) -> str:
 {name} AS (SELECT {_ego_select(variant)} FROM x GROUP BY u)"""
 
 
-def node_features_sql(anchors_only: bool = False) -> str:
+def node_features_sql(anchors_only: bool = False, round_doubles: bool = True) -> str:
     src = {c: ("amt" if c in ("degree", "in_degree", "out_degree") or "amount" in c
                else "iv" if "interval" in c else "ego") for c in _MULTI_NAMES}
     cols = ", ".join(f"coalesce({src[c]}.{c}, 0) AS {c}" for c in _MULTI_NAMES)
     where = "WHERE n.is_anchor = 1" if anchors_only else ""
-    return rounded_sql(f"""
+    inner = f"""
 WITH nodes AS {N}, {_INC_SQL},
 {_amount_sql()},
 {_interval_sql()},
 {_ego_cte('multi', 'ego')}
 SELECT n.node, n.address, n.isp, n.is_anchor, {cols}
 FROM nodes n LEFT JOIN amt ON amt.node = n.node LEFT JOIN iv ON iv.node = n.node
-     LEFT JOIN ego ON ego.node = n.node {where}""", [c for c in _MULTI_NAMES if c not in _COUNT_COLS])
+     LEFT JOIN ego ON ego.node = n.node {where}"""
+    if not round_doubles:
+        return inner
+    return rounded_sql(inner, [c for c in _MULTI_NAMES if c not in _COUNT_COLS])
 
 
 @register("node_features", node_features_sql())
@@ -661,7 +664,25 @@ def q_structural_corpus_sp(spark: SparkSession, sf_dir: str) -> DataFrame:
         "root", F.col("walk_no").cast("long").alias("walk_no"), F.concat_ws(" ", "tokens").alias("walk"))
 
 
-@register("na_roles")
+def _na_sql() -> str:
+    sel = [c for c in selected_features() if c != "node"]
+    conv = ", ".join(
+        f"CASE WHEN {c} IS NULL OR isnan(CAST({c} AS DOUBLE)) OR abs(CAST({c} AS DOUBLE)) >= 2147483648.0 "
+        f"OR trunc(CAST({c} AS DOUBLE)) + 1 <= 0 THEN -2147483648 "
+        f"ELSE CAST(floor(log2(trunc(CAST({c} AS DOUBLE)) + 1)) AS BIGINT) END" for c in sel)
+    wl = _wl_sql()
+    head, tail = wl.split("\nSELECT v.root, v.node, v.layer,", 1)
+    return f"""{head},
+nf AS ({node_features_sql(round_doubles=False)}),
+attr AS (SELECT node, list_value({conv})::BIGINT[] AS a FROM nf),
+wlt AS (SELECT v.root, v.node, v.layer,{tail})
+SELECT wlt.root, wlt.node, wlt.layer,
+  'na:(' || array_to_string(ar.a, ',') || '):' || CAST(wlt.layer AS VARCHAR) || ':(' || array_to_string(an.a, ',') || ')#'
+  || wlt.token AS token
+FROM wlt JOIN attr ar ON ar.node = wlt.root JOIN attr an ON an.node = wlt.node"""
+
+
+@register("na_roles", _na_sql())
 def q_na_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2 + T6 + P5: attribute role ids, attributes = the selected catalogue features."""
     edges = fx.tx_edges(spark, sf_dir)
