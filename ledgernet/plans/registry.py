@@ -650,7 +650,53 @@ from ledgernet.operators import embed as emb  # noqa: E402
 from ledgernet.plans import pipelines as pl  # noqa: E402
 
 
-@register("structural_corpus_sp")
+CORPUS_WALKS, CORPUS_LEN = 80, 10
+
+
+def _corpus_sql() -> str:
+    steps = []
+    for i in range(1, CORPUS_LEN):
+        u = uniform_sql(SEED, "w.root", "w.walk_no", f"{i}")
+        steps.append(f"""w{i} AS (SELECT w.root, w.walk_no,
+    coalesce(t.next, tr.next, w.cur) AS cur,
+    CASE WHEN coalesce(t.next, tr.next) IS NULL THEN w.walk ELSE list_append(w.walk, coalesce(t.next, tr.next)) END AS walk,
+    coalesce(bl.layer = {K_HOPS}, false) AS restricted
+  FROM w{i - 1} w
+  LEFT JOIN t ON NOT w.restricted AND t.source = w.cur AND t.lo <= {u} AND {u} < t.hi
+  LEFT JOIN tr ON w.restricted AND tr.root = w.root AND tr.source = w.cur AND tr.lo <= {u} AND {u} < tr.hi
+  LEFT JOIN ball bl ON bl.root = w.root AND bl.node = coalesce(t.next, tr.next, w.cur))""")
+    return f"""WITH RECURSIVE {_WEL_SQL},
+se AS (SELECT source, target FROM wel),
+gn AS (SELECT source AS node FROM se UNION SELECT target FROM se),
+{_BALL_SQL},
+trc AS (SELECT b.root, wel.source, wel.target AS next, wel.weight FROM ball b JOIN wel ON wel.source = b.node
+        JOIN ball b2 ON b2.root = b.root AND b2.node = wel.target WHERE b.layer = {K_HOPS}),
+pkr AS (SELECT root, source, count(*) AS d, sum(weight) AS tot FROM trc GROUP BY root, source),
+cr AS (SELECT trc.root, trc.source, trc.next,
+              CASE WHEN coalesce(pkr.tot, 0) = 0 THEN 1.0 ELSE trc.weight END AS w,
+              CASE WHEN coalesce(pkr.tot, 0) = 0 THEN CAST(pkr.d AS DOUBLE) ELSE pkr.tot END AS tt
+       FROM trc JOIN pkr ON pkr.root = trc.root AND pkr.source = trc.source),
+tr AS (SELECT root, source, next,
+  coalesce(sum(w) OVER (PARTITION BY root, source ORDER BY next ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / tt AS lo,
+  CASE WHEN row_number() OVER (PARTITION BY root, source ORDER BY next DESC) = 1 THEN 1.0
+       ELSE sum(w) OVER (PARTITION BY root, source ORDER BY next ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / tt END AS hi
+  FROM cr),
+w0 AS (SELECT gn.node AS root, wn.walk_no, gn.node AS cur, [gn.node] AS walk, false AS restricted
+       FROM gn, (SELECT range AS walk_no FROM range({CORPUS_WALKS})) wn),
+{",".join(steps)},
+deg AS (SELECT gn.node, CAST(floor(log2(count(se.target) + 1)) AS INTEGER) AS ld
+        FROM gn LEFT JOIN se ON se.source = gn.node GROUP BY gn.node),
+sp AS (SELECT b.root, b.node,
+         concat_ws(':', 'sp', CAST(dr.ld AS VARCHAR), CAST(b.layer AS VARCHAR), CAST(dn.ld AS VARCHAR)) AS token
+       FROM ball b JOIN deg dr ON dr.node = b.root JOIN deg dn ON dn.node = b.node),
+ex AS (SELECT root, walk_no, unnest(walk) AS node, generate_subscripts(walk, 1) AS pos FROM w{CORPUS_LEN - 1})
+SELECT ex.root, ex.walk_no,
+       string_agg(CASE WHEN ex.pos = 1 THEN CAST(ex.root AS VARCHAR) ELSE sp.token END, ' ' ORDER BY ex.pos) AS walk
+FROM ex LEFT JOIN sp ON sp.root = ex.root AND sp.node = ex.node
+GROUP BY ex.root, ex.walk_no"""
+
+
+@register("structural_corpus_sp", _corpus_sql())
 def q_structural_corpus_sp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R9 + T4 + T7: ball-confined walks (length 10, 80 per node, k = 4) over the
     weighted graph, relabelled with shortest-path role ids."""
@@ -658,7 +704,7 @@ def q_structural_corpus_sp(spark: SparkSession, sf_dir: str) -> DataFrame:
     simple = w.select("source", "target")
     roots = gr.graph_nodes(simple)
     ball = trv.k_hop_ball(simple, roots, K_HOPS)
-    walks = wk.simulate_walks(w, roots, 80, 10, seed=SEED, ball=ball, until_k=K_HOPS)
+    walks = wk.simulate_walks(w, roots, CORPUS_WALKS, CORPUS_LEN, seed=SEED, ball=ball, until_k=K_HOPS)
     roles = trv.sp_roles(ball, gr.out_degrees(roots, simple))
     return trv.relabel_walks(walks, roles).select(
         "root", F.col("walk_no").cast("long").alias("walk_no"), F.concat_ws(" ", "tokens").alias("walk"))
