@@ -532,15 +532,16 @@ def q_wl_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- R1-R8 transitions and walks
-_WEL_SQL = f"""e AS {E},
+def _wel_sql(uniform: bool = False) -> str:
+    weight = "1.0" if uniform else """(CASE WHEN tot.at <> 0 THEN g.amount / tot.at ELSE 0 END)
+  * (CASE WHEN tot.tt <> 0 THEN CAST(g.ts AS DOUBLE) / tot.tt ELSE 0 END)
+  * (CAST(g.n_tx AS DOUBLE) / tot.d)"""
+    return f"""e AS {E},
 g AS (SELECT source, target, count(*) AS n_tx, sum(coalesce(amount, 0)) AS amount,
              max(coalesce("timestamp", 0)) AS ts FROM e GROUP BY source, target),
 tot AS (SELECT node, sum(amount) AS at, sum(CAST(ts AS DOUBLE)) AS tt, count(*) AS d FROM
         (SELECT source AS node, amount, ts FROM g UNION ALL SELECT target, amount, ts FROM g) GROUP BY node),
-wel AS (SELECT g.source, g.target,
-  (CASE WHEN tot.at <> 0 THEN g.amount / tot.at ELSE 0 END)
-  * (CASE WHEN tot.tt <> 0 THEN CAST(g.ts AS DOUBLE) / tot.tt ELSE 0 END)
-  * (CAST(g.n_tx AS DOUBLE) / tot.d) AS weight
+wel AS (SELECT g.source, g.target, {weight} AS weight
   FROM g JOIN tot ON tot.node = g.source),
 pk AS (SELECT source, count(*) AS d, sum(weight) AS tot FROM wel GROUP BY source),
 c AS (SELECT wel.source, wel.target AS next,
@@ -553,6 +554,9 @@ t AS (SELECT source, next, w,
        ELSE sum(w) OVER (PARTITION BY source ORDER BY next ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / tt END AS hi
   FROM c)"""
 
+
+_WEL_SQL = _wel_sql()
+
 NUM_WALKS, WALK_LEN, SEED = 2, 5, 42
 
 
@@ -653,9 +657,10 @@ from ledgernet.plans import pipelines as pl  # noqa: E402
 CORPUS_WALKS, CORPUS_LEN = 80, 10
 
 
-def _corpus_sql() -> str:
+def _corpus_sql(uniform_weights: bool = False, relabel: bool = True, n_walks: int = CORPUS_WALKS,
+                length: int = CORPUS_LEN) -> str:
     steps = []
-    for i in range(1, CORPUS_LEN):
+    for i in range(1, length):
         u = uniform_sql(SEED, "w.root", "w.walk_no", f"{i}")
         steps.append(f"""w{i} AS (SELECT w.root, w.walk_no,
     coalesce(t.next, tr.next, w.cur) AS cur,
@@ -665,7 +670,7 @@ def _corpus_sql() -> str:
   LEFT JOIN t ON NOT w.restricted AND t.source = w.cur AND t.lo <= {u} AND {u} < t.hi
   LEFT JOIN tr ON w.restricted AND tr.root = w.root AND tr.source = w.cur AND tr.lo <= {u} AND {u} < tr.hi
   LEFT JOIN ball bl ON bl.root = w.root AND bl.node = coalesce(t.next, tr.next, w.cur))""")
-    return f"""WITH RECURSIVE {_WEL_SQL},
+    body = f"""WITH RECURSIVE {_wel_sql(uniform_weights)},
 se AS (SELECT source, target FROM wel),
 gn AS (SELECT source AS node FROM se UNION SELECT target FROM se),
 {_BALL_SQL},
@@ -682,18 +687,20 @@ tr AS (SELECT root, source, next,
        ELSE sum(w) OVER (PARTITION BY root, source ORDER BY next ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / tt END AS hi
   FROM cr),
 w0 AS (SELECT gn.node AS root, wn.walk_no, gn.node AS cur, [gn.node] AS walk, false AS restricted
-       FROM gn, (SELECT range AS walk_no FROM range({CORPUS_WALKS})) wn),
+       FROM gn, (SELECT range AS walk_no FROM range({n_walks})) wn),
 {",".join(steps)},
 deg AS (SELECT gn.node, CAST(floor(log2(count(se.target) + 1)) AS INTEGER) AS ld
         FROM gn LEFT JOIN se ON se.source = gn.node GROUP BY gn.node),
 sp AS (SELECT b.root, b.node,
          concat_ws(':', 'sp', CAST(dr.ld AS VARCHAR), CAST(b.layer AS VARCHAR), CAST(dn.ld AS VARCHAR)) AS token
        FROM ball b JOIN deg dr ON dr.node = b.root JOIN deg dn ON dn.node = b.node),
-ex AS (SELECT root, walk_no, unnest(walk) AS node, generate_subscripts(walk, 1) AS pos FROM w{CORPUS_LEN - 1})
-SELECT ex.root, ex.walk_no,
+ex AS (SELECT root, walk_no, unnest(walk) AS node, generate_subscripts(walk, 1) AS pos FROM w{length - 1})
+""" + (f"""SELECT ex.root, ex.walk_no,
        string_agg(CASE WHEN ex.pos = 1 THEN CAST(ex.root AS VARCHAR) ELSE sp.token END, ' ' ORDER BY ex.pos) AS walk
 FROM ex LEFT JOIN sp ON sp.root = ex.root AND sp.node = ex.node
-GROUP BY ex.root, ex.walk_no"""
+GROUP BY ex.root, ex.walk_no""" if relabel else
+        f"SELECT root, walk_no, array_to_string(walk, ' ') AS walk FROM w{length - 1}")
+    return body
 
 
 @register("structural_corpus_sp", _corpus_sql())
@@ -870,5 +877,26 @@ def q_concat_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.concat_classification(cut_lineage(e), features, "0;concat", "concat", 64)
 
 
+
+# ---------------------------------------------------------------- G6, R6
+@register("dense_ids", f"""WITH e AS {E},
+gn AS (SELECT source AS node FROM e UNION SELECT target FROM e)
+SELECT node, row_number() OVER (ORDER BY node) - 1 AS dense_id FROM gn""")
+def q_dense_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense ids 0..N-1 in node order (zipWithIndex, no global window)."""
+    return gr.dense_ids(gr.graph_nodes(fx.tx_edges(spark, sf_dir)))
+
+
+@register("uniform_confined_walks", _corpus_sql(uniform_weights=True, relabel=False, n_walks=NUM_WALKS,
+                                                length=CORPUS_LEN))
+def q_uniform_confined_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uniform walks confined to each root's 4-hop ball (unit weights)."""
+    w = gr.weighted_edge_list(fx.tx_edges(spark, sf_dir)).withColumn("weight", F.lit(1.0))
+    simple = w.select("source", "target")
+    roots = gr.graph_nodes(simple)
+    ball = trv.k_hop_ball(simple, roots, K_HOPS)
+    return _walk_text(wk.simulate_walks(w, roots, NUM_WALKS, CORPUS_LEN, seed=SEED, ball=ball, until_k=K_HOPS))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_node_features(spark, sf_dir)
