@@ -124,22 +124,31 @@ def _triangle_contributions(tri: DataFrame) -> DataFrame:
             .filter(F.col("r").isNotNull()).select("r.*"))
 
 
-def neighbour_table(g: DataFrame) -> DataFrame:
+def _only_roots(df: DataFrame, col: str, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return df
+    return df.join(roots.select(F.col("node").alias("__root")).distinct(), F.col(col) == F.col("__root"),
+                   "left_semi")
+
+
+def neighbour_table(g: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Per (u, v), v a successor of u (v != u): egonet in/out counts and amounts
-    of v, plus ``rc`` = multiplicity of v -> u (for the anchor's own in-degree)."""
-    nl = g.filter(F.col("source") != F.col("target"))
+    of v, plus ``rc`` = multiplicity of v -> u (for the anchor's own in-degree).
+    With ``roots`` only anchors u among them are produced (semi-join first)."""
+    nl_all = g.filter(F.col("source") != F.col("target"))
+    nl = _only_roots(nl_all, "source", roots)
     loops = (g.filter(F.col("source") == F.col("target"))
              .select(F.col("source").alias("lnode"), F.col("c").alias("cl"), F.col("a").alias("al")))
     own = nl.select(_contrib(F.col("source"), F.col("target"), cin=F.col("c"), ain=F.col("a")).alias("r"))
-    f, r = nl.alias("f"), nl.alias("r")
+    f, r = nl.alias("f"), nl_all.alias("r")
     recip = f.join(r, (F.col("f.source") == F.col("r.target")) & (F.col("f.target") == F.col("r.source"))).select(
         _contrib(F.col("f.source"), F.col("f.target"), cout=F.col("r.c"), aout=F.col("r.a"),
                  rc=F.col("r.c")).alias("r"))
     nloop = nl.join(loops, F.col("target") == F.col("lnode")).select(
         _contrib(F.col("source"), F.col("target"), cin=F.col("cl"), cout=F.col("cl"),
                  ain=F.col("al"), aout=F.col("al")).alias("r"))
-    parts = (own.unionByName(recip).unionByName(nloop).select("r.*")
-             .unionByName(_triangle_contributions(triangles(g))))
+    tri = _only_roots(_triangle_contributions(triangles(g)), "u", roots)
+    parts = own.unionByName(recip).unionByName(nloop).select("r.*").unionByName(tri)
     return parts.groupBy("u", "v").agg(
         F.sum("cin").alias("ein"), F.sum("cout").alias("eout"),
         F.sum("ain").alias("ain"), F.sum("aout").alias("aout"), F.sum("rc").alias("rc"))
@@ -165,14 +174,16 @@ SIMPLE_EGO_COLUMNS = (["degree", "in_degree", "out_degree",
                       + stat_columns("neighbor_out_degree"))
 
 
-def egonet_features(edges: DataFrame, variant: str = "multi", nodes: DataFrame | None = None) -> DataFrame:
+def egonet_features(edges: DataFrame, variant: str = "multi", nodes: DataFrame | None = None,
+                    roots: DataFrame | None = None) -> DataFrame:
     """A8-A12 (``multi``) or A13-A15 (``simple``) for every node of the graph,
-    or for every row of ``nodes`` (zeros for nodes without edges)."""
+    or for every row of ``nodes`` (zeros for nodes without edges).  ``roots``
+    (a ``node`` column) restricts the anchors before any per-anchor work."""
     # the collapsed graph feeds ~8 branches (own, reciprocal, loops, triangle
     # listing, degrees): materialise it once instead of re-scanning the edges
     g = cut_lineage(_collapsed(edges, variant))
     degs = node_degrees(g)
-    nb = neighbour_table(g).join(
+    nb = neighbour_table(g, roots).join(
         degs.select(F.col("node").alias("v"), F.col("dout").alias("v_dout"), F.col("din").alias("v_din")), "v")
     ein, eout = F.col("ein"), F.col("eout")
     aggs = [F.count(F.lit(1)).alias("k"), F.sum("eout").alias("sum_eout"), F.sum("rc").alias("sum_rc"),
@@ -183,6 +194,7 @@ def egonet_features(edges: DataFrame, variant: str = "multi", nodes: DataFrame |
     aggs += six_stat_aggs(ein, "neighbor_in_degree") + six_stat_aggs(eout, "neighbor_out_degree")
     per_u = nb.groupBy(F.col("u").alias("node")).agg(*aggs)
     base = degs if nodes is None else nodes.select("node").join(degs, "node", "left")
+    base = _only_roots(base, "node", roots)
     j = base.join(per_u, "node", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     within = (z("dout") + z("sum_eout")).cast("long")

@@ -36,8 +36,8 @@ def node_features(edges: DataFrame, nodes: DataFrame, roots: DataFrame | None =
     base = nodes.select(*META)
     if roots is not None:
         base = keep_keys(base, roots, "node")
-    t = tx.transaction_features(edges, rows_per_bucket=rows_per_bucket)
-    e = ego.egonet_features(edges, "multi")
+    t = tx.transaction_features(edges, rows_per_bucket=rows_per_bucket, roots=roots)
+    e = ego.egonet_features(edges, "multi", roots=roots)
     j = base.join(t, "node", "left").join(e, "node", "left")
     names = [n for n, _ in FEATURE_CATALOGUE]
     return j.select(*META, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in names if c not in META])
@@ -48,7 +48,7 @@ def simple_node_features(edges: DataFrame, nodes: DataFrame, roots: DataFrame |
     base = nodes.select(*META)
     if roots is not None:
         base = keep_keys(base, roots, "node")
-    e = ego.egonet_features(edges, "simple")
+    e = ego.egonet_features(edges, "simple", roots=roots)
     j = base.join(e, "node", "left")
     return j.select(*META, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in SIMPLE_FEATURES])
 

@@ -83,3 +83,16 @@ def test_anchor_roots_subset(micro):
     e, n = micro
     a = feat.node_features(e, n, roots=feat.anchors(n))
     assert sorted(r["node"] for r in a.collect()) == [1, 2, 4, 6]
+
+
+def test_roots_pushdown_gives_same_rows(micro):
+    e, n = micro
+    roots = feat.anchors(n)
+    full = {r["node"]: r.asDict() for r in feat.node_features(e, n).collect()}
+    part = {r["node"]: r.asDict() for r in feat.node_features(e, n, roots=roots).collect()}
+    assert set(part) == {1, 2, 4, 6}
+    for k, row in part.items():
+        assert row == full[k]
+    s_full = {r["node"]: r.asDict() for r in feat.simple_node_features(e, n).collect()}
+    s_part = {r["node"]: r.asDict() for r in feat.simple_node_features(e, n, roots=roots).collect()}
+    assert all(s_part[k] == s_full[k] for k in s_part)
