@@ -63,7 +63,7 @@ def structural_embedding(edge_list: DataFrame, flag: str = "wl", node_attributes
                          dimensions: int = 128, walk_length: int = 10, num_walks: int = 80,
                          window_size: int = 10, until_k: int = 4, epochs: int = 5, p: float = 1.0,
                          q: float = 1.0, seed: int = 42, discount: bool = True, stub_sources: bool = False,
-                         num_partitions: int = 1):
+                         num_partitions: int | None = None):
     """L4: k-hop balls -> confined biased walks -> role relabelling -> skip-gram
     -> vectors of the original nodes.  Returns ``(embeddings, seconds, corpus)``."""
     if flag not in ("sp", "wl", "na", "n2v"):
