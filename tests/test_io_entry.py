@@ -85,3 +85,11 @@ def test_entry_contract(spark):
     assert df.count() > 0 and "node" in df.columns
     qs, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(qs) and len(qs) >= 30
+
+
+def test_run_log_append(spark):
+    d = _scratch()
+    sk.append_run_log(spark, f"{d}/runs", "wl", 1.5)
+    sk.append_run_log(spark, f"{d}/runs", "sp", 2.5)
+    rows = sorted((r["run"], r["run_seconds"]) for r in spark.read.parquet(f"{d}/runs").collect())
+    assert rows == [("sp", 2.5), ("wl", 1.5)]
