@@ -13,9 +13,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgernet.catalog import selected_features, stat_columns
+from ledgernet.catalog import FEATURE_CATALOGUE, SIMPLE_FEATURES, selected_features, stat_columns
+from ledgernet.functions.draws import uniform_sql
 from ledgernet.functions.stats import stats_sql
+from ledgernet.operators import classify as clf
+from ledgernet.operators import egonet as ego
+from ledgernet.operators import embed as emb
+from ledgernet.operators import features as feat
+from ledgernet.operators import graph as gr
+from ledgernet.operators import metrics as met
+from ledgernet.operators import sampling as smp
 from ledgernet.operators import transactions as tx
+from ledgernet.operators import traverse as trv
+from ledgernet.operators import walks as wk
+from ledgernet.operators.scaling import minmax_scale, zscore
+from ledgernet.plans import pipelines as pl
 from ledgernet.plans.oracle import rounded, rounded_sql
 from ledgernet.session import cut_lineage
 from ledgernet.sources import fixtures as fx
@@ -108,7 +120,6 @@ def q_tx_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- A8-A15 egonet
-from ledgernet.operators import egonet as ego  # noqa: E402
 
 
 def _ego_ctes(variant: str) -> str:
@@ -184,10 +195,6 @@ def q_egonet_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- A16-A18 feature tables
-from ledgernet.catalog import FEATURE_CATALOGUE, SIMPLE_FEATURES  # noqa: E402
-from ledgernet.operators import features as feat  # noqa: E402
-from ledgernet.operators import graph as gr  # noqa: E402
-from ledgernet.operators.scaling import minmax_scale, zscore  # noqa: E402
 
 _COUNT_COLS = {"degree", "in_degree", "out_degree", "no_edge_within_egonet", "no_edge_in_egonet",
                "no_edge_out_egonet", "no_edge_all_egonet"}
@@ -357,9 +364,6 @@ def q_labeled_published(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- M4 / U1 sampling
-from ledgernet.functions.draws import uniform_sql  # noqa: E402
-from ledgernet.operators import metrics as met  # noqa: E402
-from ledgernet.operators import sampling as smp  # noqa: E402
 
 
 @register("stratified_split", f"""
@@ -458,8 +462,6 @@ def q_macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- T1-T7 balls and role ids
-from ledgernet.operators import traverse as trv  # noqa: E402
-from ledgernet.operators import walks as wk  # noqa: E402
 
 K_HOPS = 4
 _GRAPH_SQL = f"""e AS {E},
@@ -650,8 +652,6 @@ def q_second_order_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- pipelines (rows-only checks)
-from ledgernet.operators import embed as emb  # noqa: E402
-from ledgernet.plans import pipelines as pl  # noqa: E402
 
 
 CORPUS_WALKS, CORPUS_LEN = 80, 10
@@ -799,8 +799,6 @@ def q_feature_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- G7, P5, J2/L2, L3, M13, L7
-from ledgernet.catalog import selected_features  # noqa: E402
-from ledgernet.operators import classify as clf  # noqa: E402
 
 
 @register("out_adjacency", f"""
