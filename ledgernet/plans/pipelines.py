@@ -93,16 +93,19 @@ def structural_embedding(edge_list: DataFrame, flag: str = "wl", node_attributes
 
 
 # ------------------------------------------------------------------ L5-L7
-def _split(df: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    s = cut_lineage(smp.stratified_split(df, "y", "node", seed=seed))
+def _split(df: DataFrame, seed: int, materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+    # materialise the classification table once: the split counts it and then
+    # selects from it, and the wide feature plan must not run twice (inputs
+    # that are already a cheap scan pass materialize=False)
+    s = cut_lineage(smp.stratified_split(cut_lineage(df) if materialize else df, "y", "node", seed=seed))
     return s.filter(~F.col("is_test")).drop("is_test"), s.filter(F.col("is_test")).drop("is_test")
 
 
 def classify_table(table: DataFrame, feature_cols: list[str], flag: str, exp_id: str, seed: int = 42,
-                   minmax: bool = False, binary: bool = True):
+                   minmax: bool = False, binary: bool = True, materialize: bool = True):
     """Split (M4), optional min-max fitted on train (M1), RF + LR.
     ``table`` has ``node, y`` and the feature columns.  Returns (stats, rf, lr)."""
-    train, test = _split(table, seed)
+    train, test = _split(table, seed, materialize)
     if minmax:
         train_s = minmax_scale(train, feature_cols)
         test = minmax_scale(test, feature_cols, fit_on=train)
@@ -187,7 +190,7 @@ def published_baseline(published: DataFrame, classes: DataFrame, repetitions: in
     def one(i: int) -> DataFrame:
         s = samples.filter(F.col("rep") == i).select(F.col("address").alias("node"),
                                                      feat.binary_label("label").alias("y"), *cols)
-        stats, _, _ = classify_table(s, cols, flag, f"{i};elliptic", seed=base_seed + i)
+        stats, _, _ = classify_table(s, cols, flag, f"{i};elliptic", seed=base_seed + i, materialize=False)
         return cut_lineage(stats)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
