@@ -172,7 +172,7 @@ def node2vec_baseline(edge_list: DataFrame, nodes: DataFrame, exp_id: str, dimen
 
 # ------------------------------------------------------------------ L9
 def published_baseline(published: DataFrame, classes: DataFrame, repetitions: int = 50, base_seed: int = 42,
-                       flag: str = "ellip", parallelism: int = 8):
+                       flag: str = "published", parallelism: int = 8, exp_name: str = "published"):
     """Labelled published features; per repetition a balanced sample, a
     stratified split with seed ``base_seed + i`` and RF + LR.  Returns the
     stats rows of all repetitions (materialised).
@@ -190,7 +190,7 @@ def published_baseline(published: DataFrame, classes: DataFrame, repetitions: in
     def one(i: int) -> DataFrame:
         s = samples.filter(F.col("rep") == i).select(F.col("address").alias("node"),
                                                      feat.binary_label("label").alias("y"), *cols)
-        stats, _, _ = classify_table(s, cols, flag, f"{i};elliptic", seed=base_seed + i, materialize=False)
+        stats, _, _ = classify_table(s, cols, flag, f"{i};{exp_name}", seed=base_seed + i, materialize=False)
         return cut_lineage(stats)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
