@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ledgernet.llm.common import group_batches, text_buffer
 from ledgernet.llm.components import components
-from ledgernet.llm.pair_blocks import block_pairs, local_roots
+from ledgernet.llm.pair_blocks import block_pairs, local_roots, sides
 from ledgernet.session import scratch_table
 
 COSINE = 0.98
@@ -99,14 +99,12 @@ def _verify(cosine: float, shared: int):
                 if z - a < 2:
                     continue
                 x = buf[offsets[a]:offsets[z]].copy().view(np.float64).reshape(z - a, int(dim[a]))
-                own = np.flatnonzero(side[a:z] == 0)
-                other = np.flatnonzero(side[a:z] == 1)
-                cols = other if len(other) else own
-                if not len(own):
+                own, cols, same = sides(side[a:z])
+                if not len(own) or not len(cols):
                     continue
                 i, j = np.nonzero(x[own] @ x[cols].T >= cosine)
                 i, j = own[i], cols[j]
-                keep = (i < j) if not len(other) else np.ones(len(i), bool)
+                keep = (i < j) if same else np.ones(len(i), bool)
                 i, j = i[keep], j[keep]
                 full = np.zeros((z - a, z - a), bool)
                 for s in range(0, len(i), 65_536):
