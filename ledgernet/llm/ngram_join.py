@@ -36,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgernet.llm import rolling
+from ledgernet.llm import rolling, sketch
 from ledgernet.llm.common import NO_ID, group_batches, keyed_text, steps, text_buffer
 from ledgernet.llm.components import components
-from ledgernet.llm.pair_blocks import block_pairs, local_roots
+from ledgernet.llm.pair_blocks import block_pairs, local_roots, sides
 from ledgernet.session import scratch_table
 
 U = np.uint64
@@ -186,15 +186,17 @@ def candidate_links(sets: DataFrame, similarity: float = SIMILARITY, runs: int =
     return links
 
 
-def _shingles(n: int):
+def _shingles(n: int, wanted):
+    """Shingle sets of the texts whose ``dk`` may be wanted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may = wanted.value
         for b in batches:
+            b = b.take(pa.array(np.flatnonzero(may(b.column("dk").to_numpy().view(U)))))
             for rows, sets in shingle_sets(b.column("text"), n):
                 at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(c).take(at) for c in ("node", "grp", "copies", "n_blocks")]
-                    + [pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["node", "grp", "copies", "n_blocks", "body"])
+                    [b.column("node").take(at), b.column("dk").take(at), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=["node", "dk", "body"])
     return run
 
 
@@ -243,12 +245,9 @@ def _verify(similarity: float):
                     continue
                 sets = [buf[offsets[k]:offsets[k + 1]].copy().view(U) for k in range(a, z)]
                 size = np.array([len(s) for s in sets], np.int64)
-                own = np.flatnonzero(side[a:z] == 0)
-                other = np.flatnonzero(side[a:z] == 1)
-                alone = not len(other)
-                if not len(own) or (not alone and not len(own)):
+                own, cols, _ = sides(side[a:z])
+                if not len(own) or not len(cols):
                     continue
-                cols = own if alone else other
                 inter = intersections(sets, own, cols)
                 union = size[own][:, None] + size[cols][None, :] - inter
                 hit = inter * limit.denominator >= union * limit.numerator
@@ -296,8 +295,11 @@ def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = S
         F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("n") / block_shingles),
                    F.lit(1)).cast("int").alias("n_blocks"))
     placed = members.join(blocks, "grp").select("node", "dk", "grp", "copies", "n_blocks")
-    bodies = (placed.join(rows.select(F.col("doc_id").alias("node"), "dk", "text"), ["node", "dk"])
-              .mapInArrow(_shingles(shingle), "node long, grp long, copies long, n_blocks int, body binary"))
+    # only the sets of members move, not all texts
+    wanted = docs.sparkSession.sparkContext.broadcast(sketch.members(members, "dk", members.count()))
+    bodies = placed.join(
+        rows.where(ids & F.col("text").isNotNull()).select(F.col("doc_id").alias("node"), "dk", "text")
+        .mapInArrow(_shingles(shingle, wanted), "node long, dk long, body binary"), ["node", "dk"])
     if one is not sets:
         bodies = bodies.dropDuplicates(["node"])
     verified = scratch_table(
