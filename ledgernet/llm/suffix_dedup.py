@@ -120,6 +120,8 @@ class AnchorSuffixes:
 
     def checked(self, i: np.ndarray, j: np.ndarray, leftward: bool = False) -> np.ndarray:
         """``common``, verified on the bytes; a collision's excess is cut."""
+        if len(i) > 512:  # bounds the bytes that are compared at a time
+            return np.concatenate([self.checked(i[k:k + 512], j[k:k + 512], leftward) for k in range(0, len(i), 512)])
         n = self.common(i, j, leftward)
         if not n.sum():
             return n
