@@ -69,12 +69,12 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     offset = np.empty(len(lengths), np.int64)
     n, never = 0, 1 << 60
     for k, size in enumerate(lengths.tolist()):
-        # gap g -> g - size changes the sum by 2 (N[g-size] - N[g] + 1); a gap
-        # of 0 counts for nothing, a new sequence has no gap to leave
-        gain = open_[:capacity - size + 1] - open_[size:]
-        gain[0] = -open_[size] - 1
+        # gap g -> g - size changes the sum by 2 (N[g-size] - N[g]) + 2; a gap of
+        # 0 counts for nothing, and a new sequence has no gap to leave
+        gain = 2 * (open_[:capacity - size + 1] - open_[size:]) + 2
+        gain[0] = 1 - 2 * open_[size]
         gain[open_[size:] == 0] = never
-        gain[capacity - size] = open_[capacity - size] if size < capacity else -1
+        gain[capacity - size] = 2 * open_[capacity - size] + 1 if size < capacity else 0
         g = int(gain.argmin()) + size
         if g == capacity:
             s = n
