@@ -7,7 +7,6 @@ functions  column expressions (six statistics, entropy, deterministic draws, ...
 operators  graph construction, per-node features, egonets, k-hop balls,
            random walks, sampling, scaling, metrics, classification, embeddings
 plans      end-to-end pipelines composing the operators
-streaming  intentionally empty: the workload is batch only
 """
 
 __all__ = ["session"]

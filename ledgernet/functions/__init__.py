@@ -5,5 +5,5 @@ from ledgernet.functions.stats import (  # noqa: F401
 )
 from ledgernet.functions.draws import uniform, uniform_sql  # noqa: F401
 from ledgernet.functions.scalars import (  # noqa: F401
-    log_bucket, int_log_bucket, epoch_seconds, split_exp_id, safe_share,
+    log_bucket, int_log_bucket, epoch_seconds, split_exp_id,
 )

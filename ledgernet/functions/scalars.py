@@ -38,12 +38,7 @@ def split_exp_id(exp_id: Column) -> tuple[Column, Column]:
     parts = F.split(exp_id, ";")
     n = F.size(parts)
     index = (F.when(n == 2, parts.getItem(0)).when(n == 1, F.lit("0"))
-             .otherwise(F.raise_error(F.lit("Incorrect Experiment ID!"))))
+             .otherwise(F.raise_error(F.lit("an experiment id is 'name' or 'index;name'"))))
     name = (F.when(n == 2, parts.getItem(1)).when(n == 1, parts.getItem(0))
-            .otherwise(F.raise_error(F.lit("Incorrect Experiment ID!"))))
+            .otherwise(F.raise_error(F.lit("an experiment id is 'name' or 'index;name'"))))
     return index, name
-
-
-def safe_share(w: Column, total: Column, count: Column) -> Column:
-    """``w / total``; a zero total over a non-empty list gives the uniform share."""
-    return F.when(total != 0, w / total).otherwise(F.lit(1.0) / count)

@@ -7,10 +7,11 @@ multigraph keeps one row per transaction; its collapse carries the multiplicity
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgernet.functions.scalars import log_bucket
+from ledgernet.session import cut_lineage
 
 
 def collapse_edges(edges: DataFrame) -> DataFrame:
@@ -104,9 +105,14 @@ def graph_summary(edges: DataFrame) -> DataFrame:
 def dense_ids(nodes: DataFrame, col: str = "node") -> DataFrame:
     """Dense ids 0..N-1 in node order, with the inverse map as the same table.
 
-    Uses ``zipWithIndex`` (a per-partition count then offsets): no single-task
-    window over the whole node set."""
-    ordered = nodes.select(col).distinct().orderBy(col)
-    spark = nodes.sparkSession
-    rdd = ordered.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
-    return spark.createDataFrame(rdd, f"{col} long, dense_id long")
+    Nodes are sorted in ranges; a node's id is its place in its range plus the
+    rows of the ranges before.  The only window without a key is over one row
+    per range."""
+    placed = cut_lineage(nodes.select(col).distinct().repartitionByRange(col).sortWithinPartitions(col)
+                         .select(col, F.monotonically_increasing_id().alias("__at")))
+    placed = placed.select(col, F.shiftright("__at", 33).alias("__range"),
+                           F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)).alias("__place"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+               .select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off")))
+    return placed.join(offsets, "__range").select(col, (F.col("__off") + F.col("__place")).alias("dense_id"))

@@ -14,7 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgernet.catalog import META, PUBLISHED_META, SIMPLE_FEATURES
+from ledgernet.catalog import META_WITH_PUBLISHED, PUBLISHED_META
 from ledgernet.operators import classify as clf
 from ledgernet.operators import embed as emb
 from ledgernet.operators import features as feat
@@ -44,15 +44,16 @@ def simple_graph_features(edges: DataFrame, nodes: DataFrame, published_raw: Dat
 
 # ------------------------------------------------------------------ L3
 def graph_preparation(edges: DataFrame, features: DataFrame | None = None, ranking: DataFrame | None = None,
-                      top_k: int = 10, projection: bool = False, weighted: bool = True):
+                      top_k: int = 10, projection: bool = False, weighted: bool = True, scale: bool = True):
     """L3: weighted (or unweighted) simple edge list, and a node list with the
-    top-k ranked features or a 2-D projection of all features."""
+    top-k ranked features or a 2-D projection of all features (``scale``: min-max
+    scaled first; the merged published table is projected as it is)."""
     edge_list = gr.weighted_edge_list(edges) if weighted else gr.unweighted_edge_list(edges)
     node_list = None
     if features is not None:
         if projection:
-            cols = feat.feature_columns(features)
-            node_list = emb.projection_2d(features, cols, scale=True)
+            cols = feat.feature_columns(features, META_WITH_PUBLISHED)
+            node_list = emb.projection_2d(features, cols, scale=scale)
         elif ranking is not None:
             node_list = feat.top_features(features, ranking, top_k)
     return edge_list, node_list
@@ -63,7 +64,7 @@ def structural_embedding(edge_list: DataFrame, flag: str = "wl", node_attributes
                          dimensions: int = 128, walk_length: int = 10, num_walks: int = 80,
                          window_size: int = 10, until_k: int = 4, epochs: int = 5, p: float = 1.0,
                          q: float = 1.0, seed: int = 42, discount: bool = True, stub_sources: bool = False,
-                         num_partitions: int | None = None):
+                         num_partitions: int = emb.TRAIN_PARTITIONS):
     """L4: k-hop balls -> confined biased walks -> role relabelling -> skip-gram
     -> vectors of the original nodes.  Returns ``(embeddings, seconds, corpus)``."""
     if flag not in ("sp", "wl", "na", "n2v"):
@@ -124,7 +125,7 @@ def feature_classification(features: DataFrame, nodes: DataFrame, exp_id: str, f
     RF feature ranking (M12)."""
     anchors = feat.anchors(nodes).select("node")
     f = feat.keep_keys(features, anchors, "node")
-    cols = feat.feature_columns(f, META)
+    cols = feat.feature_columns(f, META_WITH_PUBLISHED)
     table = f.select("node", F.col("isp").alias("y"), *cols)
     stats, rf, _ = classify_table(table, cols, flag, exp_id, seed, minmax=minmax)
     ranking = clf.feature_importance(rf, cols, features.sparkSession)
@@ -145,7 +146,7 @@ def concat_classification(embeddings: DataFrame, features: DataFrame, exp_id: st
                           dimensions: int, seed: int = 42):
     """Engineered features z-scored over all rows (as the original workload
     does, before the split) joined to the embeddings; anchors only."""
-    cols = feat.feature_columns(features, META)
+    cols = feat.feature_columns(features, META_WITH_PUBLISHED)
     z = zscore(features, cols)
     wide = emb.wide_embeddings(embeddings, dimensions)
     j = wide.join(z, "node", "left").filter(F.col("is_anchor") == 1)
@@ -156,17 +157,24 @@ def concat_classification(embeddings: DataFrame, features: DataFrame, exp_id: st
 
 
 # ------------------------------------------------------------------ L8
-def node2vec_baseline(edge_list: DataFrame, nodes: DataFrame, exp_id: str, dimensions: int = 64,
-                      walk_length: int = 5, num_walks: int = 20, window_size: int = 10, epochs: int = 5,
-                      p: float = 1.0, q: float = 1.0, seed: int = 42, overrides: DataFrame | None = None):
-    """Plain node2vec walks over the whole graph -> skip-gram (min_count 1)
-    -> anchors' vectors -> classification.  Returns (stats, embeddings)."""
+def node2vec_embedding(edge_list: DataFrame, dimensions: int = 64, walk_length: int = 5, num_walks: int = 20,
+                       window_size: int = 10, epochs: int = 5, p: float = 1.0, q: float = 1.0, seed: int = 42,
+                       overrides: DataFrame | None = None) -> DataFrame:
+    """Plain node2vec walks over the whole graph -> skip-gram (min_count 1)."""
     w = gr.read_weighted(edge_list)
     roots = gr.graph_nodes(w)
     walks = wk.simulate_walks(w, roots, num_walks, walk_length, seed=seed, p=p, q=q, overrides=overrides)
-    corpus = trv.relabel_walks(walks, None)
-    vectors = emb.skip_gram(corpus, dimensions, window_size, epochs, min_count=1, seed=seed)
-    e = emb.root_vectors(vectors, roots)
+    vectors = emb.skip_gram(trv.relabel_walks(walks, None), dimensions, window_size, epochs, min_count=1, seed=seed)
+    return emb.root_vectors(vectors, roots)
+
+
+def node2vec_baseline(edge_list: DataFrame, nodes: DataFrame, exp_id: str, dimensions: int = 64,
+                      walk_length: int = 5, num_walks: int = 20, window_size: int = 10, epochs: int = 5,
+                      p: float = 1.0, q: float = 1.0, seed: int = 42, overrides: DataFrame | None = None):
+    """node2vec vectors of the anchors -> classification.  Returns (stats,
+    embeddings)."""
+    e = cut_lineage(node2vec_embedding(edge_list, dimensions, walk_length, num_walks, window_size, epochs, p, q, seed,
+                                       overrides))
     return embedding_classification(e, nodes, exp_id, "n2v", dimensions, seed), e
 
 
@@ -200,5 +208,3 @@ def published_baseline(published: DataFrame, classes: DataFrame, repetitions: in
         out = out.unionByName(p)
     return out
 
-
-SIMPLE_FEATURE_NAMES = SIMPLE_FEATURES

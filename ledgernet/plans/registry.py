@@ -870,7 +870,7 @@ def q_concat_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L7 + J5 + M3: node2vec embeddings (64 dims) concatenated with z-scored
     engineered features; RF and L1-LR on the anchors."""
     edges, nodes = fx.tx_edges(spark, sf_dir), fx.tx_nodes(spark, sf_dir)
-    _, e = pl.node2vec_baseline(gr.weighted_edge_list(edges), nodes, "0;n2v")
+    e = pl.node2vec_embedding(gr.weighted_edge_list(edges))
     features = cut_lineage(feat.node_features(edges, nodes))
     return pl.concat_classification(cut_lineage(e), features, "0;concat", "concat", 64)
 
@@ -881,7 +881,7 @@ def q_concat_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 gn AS (SELECT source AS node FROM e UNION SELECT target FROM e)
 SELECT node, row_number() OVER (ORDER BY node) - 1 AS dense_id FROM gn""")
 def q_dense_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense ids 0..N-1 in node order (zipWithIndex, no global window)."""
+    """Dense ids 0..N-1 in node order (range-sorted, no window over the nodes)."""
     return gr.dense_ids(gr.graph_nodes(fx.tx_edges(spark, sf_dir)))
 
 

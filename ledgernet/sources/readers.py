@@ -1,4 +1,5 @@
-"""Readers with explicit schemas (S1-S8).  CSV with a header or Parquet."""
+"""Readers with explicit schemas (S1-S8).  CSV with a header or Parquet; columns
+are found by name, others are ignored, and a missing one is an error."""
 
 from __future__ import annotations
 
@@ -8,17 +9,27 @@ from pyspark.sql import functions as F
 from ledgernet.catalog import CLASSES, EDGES, NODES, SIMPLE_EDGES, WEIGHTED_EDGES, published_feature_names
 
 
+#: Columns of written tables that are not doubles.
+TABLE_TYPES = {
+    "node": "long", "timestamp": "long", "isp": "int", "is_anchor": "int", "select": "int",
+    "address": "string", "txId": "string", "label": "string", "feature": "string",
+    "index": "string", "exp_id": "string", "emb_method": "string", "classifier": "string",
+}
+
+
 def _read(spark: SparkSession, path: str, schema=None, fmt: str | None = None) -> DataFrame:
     fmt = fmt or ("csv" if path.endswith(".csv") or path.endswith(".edgelist") or path.endswith(".nodelist")
                   else "parquet")
     r = spark.read
     if fmt == "csv":
-        r = r.option("header", "true")
-        if schema is not None:
-            r = r.schema(schema)
-        return r.csv(path)
-    df = r.parquet(path)
+        # a schema given to the CSV reader would bind by position
+        df = r.option("header", "true").option("inferSchema", "false").csv(path)
+    else:
+        df = r.parquet(path)
     if schema is not None:
+        missing = [f.name for f in schema.fields if f.name not in df.columns]
+        if missing:
+            raise ValueError(f"{path} lacks the columns {missing}; it has {df.columns}")
         df = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
     return df
 
@@ -53,12 +64,14 @@ def read_classes(spark: SparkSession, path: str, fmt: str | None = None) -> Data
 def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """A feature table or a feature ranking written earlier."""
     if (fmt or ("csv" if path.endswith(".csv") else "parquet")) == "csv":
-        return spark.read.option("header", "true").option("inferSchema", "true").csv(path)
+        df = spark.read.option("header", "true").option("inferSchema", "false").csv(path)
+        return df.select(*[F.col(f"`{c}`").cast(TABLE_TYPES.get(c, "double")).alias(c) for c in df.columns])
     return spark.read.parquet(path)
 
 
 def read_weighted_edges(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """``source, target[, weight]``; missing weight -> 1, duplicate pairs collapse."""
+    """``source, target[, weight]``; missing weight -> 1; of duplicate pairs the largest
+    weight stays (rows have no order, so there is no last one)."""
     df = _read(spark, path, None, fmt)
     w = F.col("weight").cast("double") if "weight" in df.columns else F.lit(1.0)
     return (df.select(F.col("source").cast("long"), F.col("target").cast("long"), w.alias("weight"))

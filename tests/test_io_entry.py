@@ -93,3 +93,24 @@ def test_run_log_append(spark):
     sk.append_run_log(spark, f"{d}/runs", "sp", 2.5)
     rows = sorted((r["run"], r["run_seconds"]) for r in spark.read.parquet(f"{d}/runs").collect())
     assert rows == [("sp", 2.5), ("wl", 1.5)]
+
+
+def test_readers_bind_columns_by_name(spark, micro):
+    import pytest
+
+    e, _ = micro
+    d = _scratch()
+    sk.write_table(e.selectExpr("7 AS idx", "amount", "source", "timestamp", "target"), f"{d}/e", fmt="csv")
+    assert sorted(rd.read_edges(spark, f"{d}/e", fmt="csv").collect()) == sorted(e.collect())
+    with pytest.raises(ValueError, match="is_anchor"):
+        rd.read_nodes(spark, f"{d}/e", fmt="csv")
+
+
+def test_published_file_is_named_by_position(spark):
+    d = _scratch()
+    spark.createDataFrame([(f"{k},{k + 1}," + ",".join(str(x) for x in range(165)),) for k in range(3)],
+                          "value string").write.text(f"{d}/pub")
+    got = rd.read_published_features(spark, f"{d}/pub", fmt="csv")
+    assert len(got.columns) == 167 and got.columns[2] == "tx_feat_2" and got.columns[-1] == "agg_feat_72"
+    row = got.where("address = '1'").first()
+    assert (row["timestamp"], row["tx_feat_2"], row["tx_feat_94"], row["agg_feat_72"]) == (2, 0.0, 92.0, 164.0)
