@@ -11,7 +11,20 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on (several 8-byte arrays of
 #: this length live at once).
-STEP_BYTES = 1 << 20
+STEP_BYTES = 500_000
+
+
+#: Most rows of an Arrow batch that carries whole texts to a Python worker.
+TEXT_ROWS = 2000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``TEXT_ROWS``: the default of
+    10,000 rows of text is a multiple of what a step works on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +43,7 @@ NO_ID = -(1 << 63)
 
 def keyed_text(docs: DataFrame) -> DataFrame:
     """``doc_id`` (``NO_ID`` for null), ``text``, ``dk`` of every row."""
+    text_batches(docs.sparkSession)
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
                        "text", text_key().alias("dk"))
 

@@ -33,6 +33,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgernet.llm.common import text_batches
+
 SAMPLE_DOCS, SAMPLE_BYTES, MAX_LANGUAGES = 512, 400, 256
 PIECE, LEVEL, MIN_MATCH = 4096, 3, 3
 MIN_MARGIN = 1
@@ -139,6 +141,7 @@ def language_id(docs: DataFrame, samples: dict[str, list[bytes]] | None = None,
                 min_margin: int = MIN_MARGIN) -> DataFrame:
     """One row per row of ``docs(doc_id, text, lang)``: ``doc_id, held_out,
     lang_pred, score, rejected``."""
+    text_batches(docs.sparkSession)
     samples = learn(docs) if samples is None else samples
     shared = docs.sparkSession.sparkContext.broadcast(samples)
     return (docs.select("doc_id", held_out().alias("held_out"), "text")
@@ -149,6 +152,7 @@ def language_id(docs: DataFrame, samples: dict[str, list[bytes]] | None = None,
 def keep_identified(docs: DataFrame, samples: dict[str, list[bytes]] | None = None,
                     min_margin: int = MIN_MARGIN) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all their columns."""
+    text_batches(docs.sparkSession)
     samples = learn(docs) if samples is None else samples
     shared = docs.sparkSession.sparkContext.broadcast(samples)
 

@@ -28,17 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgernet.llm.common import group_batches
+from ledgernet.llm.common import group_batches, text_batches
 from ledgernet.llm.tokens import tokenizer
 from ledgernet.session import scratch_table
 
 CAPACITY, SHARD, FULL = 2048, 65_536, 0.995
-TEXTS = 128
+#: Documents that are encoded together; words that a worker remembers.
+TEXTS, REMEMBERED = 128, 400_000
 
 
 def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path)
+        encode = tokenizer(path, REMEMBERED)
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
         for b in batches:
@@ -141,5 +142,6 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int
                    shard: int = SHARD) -> DataFrame:
     """``docs(doc_id, text)`` → ``doc_id, piece, start, length, ids_crc32,
     sequence_id, offset``, a row per piece."""
+    text_batches(docs.sparkSession)
     pieces = scratch_table(docs.select("doc_id", "text").mapInArrow(_pieces(vocabulary, end_id, capacity), _KINDS))
     return pack_pieces(pieces, capacity, shard)

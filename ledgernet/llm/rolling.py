@@ -161,7 +161,7 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return start, end, np.searchsorted(start, offsets)
 
 
-def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, most: int = 500_000) -> np.ndarray:
     """64-bit hash of every word's bytes, in runs of words of bounded size."""
     out = np.empty(len(start), U)
     i, p = 0, poly(1)
@@ -175,7 +175,7 @@ def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, most: int =
     return out
 
 
-def segment_runs(values_of, bounds: np.ndarray, size: int, gram: int, most: int = 1 << 21):
+def segment_runs(values_of, bounds: np.ndarray, size: int, gram: int, most: int = 500_000):
     """``(Segments, place of its first item)`` over any number of items.
 
     ``values_of(lo, hi)`` gives the values of a range of items.  Sequences are

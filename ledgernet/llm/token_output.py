@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgernet.llm.common import text_key
+from ledgernet.llm.common import text_batches, text_key
 from ledgernet.llm.tokens import tokenizer
 from ledgernet.session import ensure_checkpoint_dir, scratch_table
 
@@ -128,6 +128,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str | No
     """Write the files; returns the manifest ``part, path, n_docs, n_tokens,
     start`` (ids in the parts before), one row per file pair."""
     spark = docs.sparkSession
+    text_batches(spark)
     folder = folder or f"{ensure_checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     fs, where = filesystem(folder)
     fs.create_dir(where, recursive=True)

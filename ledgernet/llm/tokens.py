@@ -20,13 +20,15 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _WORDS = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+\Z")
 _OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Different words that a worker remembers; beyond, it starts anew.
+#: Different words that a worker remembers (about 230 bytes each); beyond, it
+#: starts anew.
 REMEMBERED = 1_000_000
 _LOADED: dict[str, "WordTokenizer"] = {}
 
 
 class WordTokenizer:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int):
+        self.remembered = remembered
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -59,7 +61,7 @@ class WordTokenizer:
             else:
                 words.append(split(t.lower() if self.folds and t.isascii() else t))
         new = {w for some in words if some for w in some if w not in self.known}
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + len(new) > self.remembered:
             self.known.clear()
             new = {w for some in words if some for w in some}
         self._learn(list(new))
@@ -67,8 +69,8 @@ class WordTokenizer:
         return [self._ids(t) if some is None else b"".join(map(get, some)) for t, some in zip(texts, words)]
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, remembered: int = REMEMBERED) -> WordTokenizer:
     """The worker's tokenizer for a vocabulary file."""
     if path not in _LOADED:
-        _LOADED[path] = WordTokenizer(path)
+        _LOADED[path] = WordTokenizer(path, remembered)
     return _LOADED[path]
