@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,9 +47,16 @@ def unescape(text: str) -> str:
     return re.sub("~.", lambda m: _UNESCAPE[m[0]], text, flags=re.S)
 
 
+@lru_cache(maxsize=2 * CONTEXT)
+def _marked_turn(role: str, text: str) -> str:
+    return f"{OPEN}{escape(role)}{HEAD}{escape(text)}{CLOSE}\n"
+
+
 def turn_template(turns: list[Turn]) -> str:
-    """The default template: marked turns, escaped roles and texts."""
-    return "".join(f"{OPEN}{escape(t['role'])}{HEAD}{escape(t['text'])}{CLOSE}\n" for t in turns)
+    """The default template: marked turns, escaped roles and texts.  A turn is
+    in the renderings of ``CONTEXT`` successors, so it is escaped once and held
+    as long as the context holds it."""
+    return "".join(_marked_turn(t["role"], t["text"]) for t in turns)
 
 
 class Renderer:
