@@ -79,14 +79,15 @@ def triangles(g: DataFrame) -> DataFrame:
     p = (pairs.join(deg.withColumnRenamed("node", "a").withColumnRenamed("deg", "da"), "a")
          .join(deg.withColumnRenamed("node", "b").withColumnRenamed("deg", "db"), "b"))
     a_low = F.col("da") <= F.col("db")          # ties broken by id: a < b always
-    oriented = p.select(
+    # read three times below: the degree joins run once
+    oriented = cut_lineage(p.select(
         F.when(a_low, F.col("a")).otherwise(F.col("b")).alias("x"),
         F.when(a_low, F.col("b")).otherwise(F.col("a")).alias("y"),
         F.when(a_low, F.col("db")).otherwise(F.col("da")).alias("dy"),
         F.when(a_low, F.col("c_ab")).otherwise(F.col("c_ba")).alias("cxy"),
         F.when(a_low, F.col("a_ab")).otherwise(F.col("a_ba")).alias("axy"),
         F.when(a_low, F.col("c_ba")).otherwise(F.col("c_ab")).alias("cyx"),
-        F.when(a_low, F.col("a_ba")).otherwise(F.col("a_ab")).alias("ayx"))
+        F.when(a_low, F.col("a_ba")).otherwise(F.col("a_ab")).alias("ayx")))
     o1 = oriented.alias("o1")
     o2 = oriented.alias("o2")
     o3 = oriented.alias("o3")
@@ -131,6 +132,16 @@ def _only_roots(df: DataFrame, col: str, roots: DataFrame | None) -> DataFrame:
                    "left_semi")
 
 
+def near_roots(g: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Edges with both ends in N[roots] (roots and their successors): the only
+    ones that a triangle read from a root can have."""
+    if roots is None:
+        return g
+    own = _only_roots(g, "source", roots)
+    members = own.select(F.col("source").alias("node")).unionAll(own.select("target")).distinct()
+    return _only_roots(_only_roots(g, "source", members), "target", members)
+
+
 def neighbour_table(g: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Per (u, v), v a successor of u (v != u): egonet in/out counts and amounts
     of v, plus ``rc`` = multiplicity of v -> u (for the anchor's own in-degree).
@@ -147,7 +158,7 @@ def neighbour_table(g: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     nloop = nl.join(loops, F.col("target") == F.col("lnode")).select(
         _contrib(F.col("source"), F.col("target"), cin=F.col("cl"), cout=F.col("cl"),
                  ain=F.col("al"), aout=F.col("al")).alias("r"))
-    tri = _only_roots(_triangle_contributions(triangles(g)), "u", roots)
+    tri = _only_roots(_triangle_contributions(triangles(near_roots(g, roots))), "u", roots)
     parts = own.unionByName(recip).unionByName(nloop).select("r.*").unionByName(tri)
     return parts.groupBy("u", "v").agg(
         F.sum("cin").alias("ein"), F.sum("cout").alias("eout"),

@@ -27,6 +27,20 @@ def test_core_plans_have_no_products(spark, micro):
     _no_product(_plan(wk.first_order_transitions(w)))
 
 
+def test_roots_come_before_triangles(spark):
+    """Triangles are listed among N[roots] only, with the same features."""
+    pairs = [(1, 2), (2, 3), (1, 3), (3, 1), (3, 4), (4, 5), (5, 3), (6, 7), (7, 8), (6, 8), (2, 2)]
+    e = spark.createDataFrame([(a, b, k, float(a + b)) for k, (a, b) in enumerate(pairs)],
+                              "source long, target long, timestamp long, amount double")
+    roots = spark.createDataFrame([(1,), (8,)], "node long")
+    near = {(r["source"], r["target"]) for r in ego.near_roots(e, roots).collect()}
+    assert near == {(1, 2), (2, 3), (1, 3), (3, 1), (2, 2)}
+    for variant in ("multi", "simple"):
+        some = ego.egonet_features(e, variant, roots=roots).orderBy("node").collect()
+        every = ego.egonet_features(e, variant).where("node IN (1, 8)").orderBy("node").collect()
+        assert [[round(x, 9) for x in r] for r in some] == [[round(x, 9) for x in r] for r in every]
+
+
 def test_fixture_scan_is_pruned_and_filtered(spark):
     plan = _plan(fx.tx_edges(spark, "/root/testdata/sf0.001"))
     scan = [l for l in plan.split("\n") if "FileScan parquet" in l][0]
