@@ -599,6 +599,40 @@ def q_random_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _walk_text(wk.simulate_walks(w, roots, NUM_WALKS, WALK_LEN, seed=SEED))
 
 
+# Per-node settings of every second node: 0 to 2 walks of at most 3 to 7 nodes.
+_OVERRIDES_SQL = f"""(SELECT node, node % 3 AS num_walks, 3 + node % 5 AS walk_length FROM {N} WHERE node % 2 = 0)"""
+LONGEST = 7
+
+
+def _override_walks_sql() -> str:
+    steps = []
+    for i in range(1, LONGEST):
+        u = uniform_sql(SEED, "w.root", "w.walk_no", f"{i}")
+        steps.append(f"""w{i} AS (SELECT w.root, w.walk_no, w.max_len, coalesce(t.next, w.cur) AS cur,
+  CASE WHEN t.next IS NULL THEN w.walk ELSE list_append(w.walk, t.next) END AS walk
+  FROM w{i - 1} w LEFT JOIN t ON len(w.walk) < w.max_len AND t.source = w.cur AND t.lo <= {u} AND {u} < t.hi)""")
+    return f"""WITH {_WEL_SQL},
+gn AS (SELECT source AS node FROM wel UNION SELECT target FROM wel),
+ov AS {_OVERRIDES_SQL},
+w0 AS (SELECT gn.node AS root, wn.walk_no, coalesce(ov.walk_length, {WALK_LEN}) AS max_len, gn.node AS cur,
+              [gn.node] AS walk
+       FROM gn LEFT JOIN ov ON ov.node = gn.node
+       JOIN (SELECT range AS walk_no FROM range({LONGEST})) wn ON wn.walk_no < coalesce(ov.num_walks, {NUM_WALKS})),
+{",".join(steps)}
+SELECT root, walk_no, array_to_string(walk, ' ') AS walk FROM w{LONGEST - 1}"""
+
+
+@register("per_node_override_walks", _override_walks_sql())
+def q_per_node_override_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walk number and length set per node (no walk where the number is 0);
+    nodes without a setting use the global ones."""
+    w = gr.weighted_edge_list(fx.tx_edges(spark, sf_dir))
+    node = F.col("node")
+    overrides = fx.tx_nodes(spark, sf_dir).where(node % 2 == 0).select(
+        "node", (node % 3).alias("num_walks"), (node % 5 + 3).alias("walk_length"))
+    return _walk_text(wk.simulate_walks(w, gr.graph_nodes(w), NUM_WALKS, WALK_LEN, seed=SEED, overrides=overrides))
+
+
 P2, Q2 = 0.5, 2.0
 
 
@@ -822,26 +856,40 @@ def q_selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(feat.select_catalogue(f, selected_only=True))
 
 
-_PUB1 = fx.pub_features_sql(4)
+_PUB_NAMES = [f"f_{i}" for i in range(64)]
 
 
 @register("merged_published_features", rounded_sql(
     _simple_features_sql() + f""",
 z AS (SELECT node, address, isp, is_anchor, {_zscore_select(SIMPLE_FEATURES)} FROM sf),
 pub AS (SELECT p.*, c."txId", CASE WHEN c.label = 'unknown' THEN '0' ELSE c.label END AS label
-        FROM {_PUB1} p LEFT JOIN {fx.PUB_CLASSES_SQL} c ON p.address = c."txId"),
+        FROM {fx.pub_features_sql()} p LEFT JOIN {fx.PUB_CLASSES_SQL} c ON p.address = c."txId"),
 ps AS (SELECT * FROM pub WHERE address IN (SELECT address FROM z))
-SELECT z.*, CAST(ps."timestamp" AS DOUBLE) AS "timestamp", ps.f_0, ps.f_1, ps.f_2, ps.f_3, ps."txId", ps.label
-FROM z LEFT JOIN ps ON ps.address = z.address""", list(SIMPLE_FEATURES) + ["timestamp", "f_0", "f_1", "f_2", "f_3"]))
+SELECT z.*, CAST(ps."timestamp" AS DOUBLE) AS "timestamp", {", ".join(f"ps.{c}" for c in _PUB_NAMES)},
+       ps."txId", ps.label
+FROM z LEFT JOIN ps ON ps.address = z.address""", list(SIMPLE_FEATURES) + ["timestamp", *_PUB_NAMES]))
 def q_merged_published_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L2 + A18 + M3 + J1 + J2 + J3: z-scored simple-graph features of all nodes
-    left-joined with the labelled published features of those nodes."""
+    left-joined with the labelled published features of those nodes (nodes
+    without a published address have nulls there)."""
     _, _, merged = pl.simple_graph_features(fx.tx_edges(spark, sf_dir), fx.tx_nodes(spark, sf_dir),
-                                            fx.pub_features(spark, sf_dir, 4), fx.pub_classes(spark, sf_dir))
-    # published timestamps are all null here (no shared addresses): compare as double
+                                            fx.pub_features(spark, sf_dir), fx.pub_classes(spark, sf_dir))
+    # a nullable timestamp is compared as double
     return rounded(merged.withColumn("timestamp", F.col("timestamp").cast("double")))
 
 
+@register("merged_classification")
+def q_merged_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L5 on the merged table: the anchors with published features, 25 + 64
+    features as they are (already z-scored), none of the seven metadata
+    columns; two stats rows."""
+    nodes = fx.tx_nodes(spark, sf_dir)
+    _, _, merged = pl.simple_graph_features(fx.tx_edges(spark, sf_dir), nodes, fx.pub_features(spark, sf_dir),
+                                            fx.pub_classes(spark, sf_dir))
+    stats, _ = pl.feature_classification(merged.where("txId IS NOT NULL"), nodes, "0;merged", minmax=False)
+    return stats
+
+
 @register("embedding_node_list")
 def q_embedding_node_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L3 + O2 + P4: node list for the attribute-aware embedding: node plus the

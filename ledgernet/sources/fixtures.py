@@ -3,8 +3,9 @@
 * ``tx_edges``   one directed transaction per urgent order:
   ``source = o_custkey``, a hashed ``target`` customer, epoch-seconds
   ``timestamp`` and ``amount = o_totalprice`` (a multigraph with cycles).
-* ``tx_nodes``   one node per customer; ``isp = 1`` for negative balances,
-  anchors are the illicit nodes plus every tenth customer.
+* ``tx_nodes``   one node per customer; the address is the customer key as text
+  (shared with the published set), ``isp = 1`` for negative balances, anchors
+  are the illicit nodes plus every tenth customer.
 * ``pub_features`` / ``pub_classes``  a positional published-feature table and
   its class file, from the ``embeddings`` table.
 
@@ -27,11 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tx_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     # one scalar (a metadata-only count of the customer table) becomes a literal
-    n_customers = table(spark, sf_dir, "customer").count()
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    n = F.lit(table(spark, sf_dir, "customer").count()).cast("long")
+    # reduced before squaring, so that no key overflows a long
+    k, c = F.pmod(F.col("o_orderkey"), n), F.pmod(F.col("o_custkey"), n)
     return (orders.filter(F.col("o_orderpriority") == "1-URGENT")
-            .select(c.alias("source"),
-                    F.pmod(c * 31 + k * k + k, F.lit(n_customers).cast("long")).alias("target"),
+            .select(F.col("o_custkey").alias("source"),
+                    F.pmod(c * 31 + k * k + k, n).alias("target"),
                     epoch_seconds(F.col("o_orderdate")).alias("timestamp"),
                     F.col("o_totalprice").cast("double").alias("amount")))
 
@@ -41,7 +43,7 @@ def tx_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     neg = F.col("c_acctbal") < 0
     return cust.select(
         F.col("c_custkey").alias("node"),
-        F.col("c_name").alias("address"),
+        F.col("c_custkey").cast("string").alias("address"),
         F.when(neg, 1).otherwise(0).cast("int").alias("isp"),
         F.when(neg | (F.pmod(F.col("c_custkey"), F.lit(10)) == 0), 1).otherwise(0).cast("int").alias("is_anchor"),
     )
@@ -67,12 +69,12 @@ def pub_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # DuckDB twins (used by the oracle SQL).
 TX_EDGES_SQL = """(SELECT o_custkey AS source,
-       (o_custkey*31 + o_orderkey*o_orderkey + o_orderkey) % (SELECT count(*) FROM customer) AS target,
+       ((o_custkey % nc.n) * 31 + (o_orderkey % nc.n) * (o_orderkey % nc.n) + o_orderkey % nc.n) % nc.n AS target,
        cast(epoch(o_orderdate) AS BIGINT) AS "timestamp",
        cast(o_totalprice AS DOUBLE) AS amount
-  FROM orders WHERE o_orderpriority = '1-URGENT')"""
+  FROM orders, (SELECT count(*) AS n FROM customer) AS nc WHERE o_orderpriority = '1-URGENT')"""
 
-TX_NODES_SQL = """(SELECT c_custkey AS node, c_name AS address,
+TX_NODES_SQL = """(SELECT c_custkey AS node, cast(c_custkey AS VARCHAR) AS address,
        CAST(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS INTEGER) AS isp,
        CAST(CASE WHEN c_acctbal < 0 OR c_custkey % 10 = 0 THEN 1 ELSE 0 END AS INTEGER) AS is_anchor
   FROM customer)"""
