@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from ledgernet.llm.common import text_batches
 
 SAMPLE_DOCS, SAMPLE_BYTES, MAX_LANGUAGES = 512, 400, 256
+#: Groups of tasks whose rows are ranked apart before a whole language is.
+SAMPLE_PARTS = 32
 PIECE, LEVEL, MIN_MATCH = 4096, 3, 3
 MIN_MARGIN = 1
 UNDETERMINED = "und"
@@ -99,8 +101,13 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = S
     labelled = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull())
     # lang narrow first: ranking must not move texts
     languages = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    by = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(41), "doc_id"), "doc_id")
+    order = [F.xxhash64(F.lit(41), "doc_id"), F.col("doc_id")]
+    # first in each of SAMPLE_PARTS groups of tasks, so that the last window's
+    # input does not grow with the number of tasks; the groups don't matter
+    by_part, by = Window.partitionBy("lang", "part").orderBy(*order), Window.partitionBy("lang").orderBy(*order)
     keys = (labelled.select("doc_id", "lang").join(F.broadcast(languages.select("lang")), "lang")
+            .withColumn("part", F.spark_partition_id() % SAMPLE_PARTS)
+            .withColumn("rank", F.row_number().over(by_part)).where(F.col("rank") <= sample_docs)
             .withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= sample_docs)
             .select("doc_id", "lang", "rank"))
     texts = (labelled.select("doc_id", "lang", F.substring("text", 1, 2 * sample_bytes).alias("text"))
