@@ -1,11 +1,12 @@
 """Graph views derived from the driver's TPC-H-like tables.
 
-* ``tx_edges``   one directed transaction per urgent order:
-  ``source = o_custkey``, a hashed ``target`` customer, epoch-seconds
-  ``timestamp`` and ``amount = o_totalprice`` (a multigraph with cycles).
-* ``tx_nodes``   one node per customer; the address is the customer key as text
-  (shared with the published set), ``isp = 1`` for negative balances, anchors
-  are the illicit nodes plus every tenth customer.
+* ``tx_edges``   one directed transaction per order: the ``source`` is the
+  customer's account for that order priority (``5 * o_custkey`` + 0 to 4), the
+  ``target`` a hashed account, with epoch-seconds ``timestamp`` and
+  ``amount = o_totalprice`` (a multigraph with cycles).
+* ``tx_nodes``   one node per account, five a customer; the address is the
+  account number as text (shared with the published set), ``isp = 1`` for
+  negative balances, anchors are the illicit nodes plus every tenth account.
 * ``pub_features`` / ``pub_classes``  a positional published-feature table and
   its class file, from the ``embeddings`` table.
 
@@ -25,27 +26,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Accounts of a customer: one for each order priority, 1 to 5.
+ACCOUNTS = 5
+#: Order keys are reduced by it before squaring, so that no square overflows.
+SQUARE_MODULUS = 1_000_003
+
+
 def tx_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     # one scalar (a metadata-only count of the customer table) becomes a literal
-    n = F.lit(table(spark, sf_dir, "customer").count()).cast("long")
-    # reduced before squaring, so that no key overflows a long
-    k, c = F.pmod(F.col("o_orderkey"), n), F.pmod(F.col("o_custkey"), n)
-    return (orders.filter(F.col("o_orderpriority") == "1-URGENT")
-            .select(F.col("o_custkey").alias("source"),
-                    F.pmod(c * 31 + k * k + k, n).alias("target"),
-                    epoch_seconds(F.col("o_orderdate")).alias("timestamp"),
-                    F.col("o_totalprice").cast("double").alias("amount")))
+    n = F.lit(ACCOUNTS * table(spark, sf_dir, "customer").count()).cast("long")
+    source = F.col("o_custkey") * ACCOUNTS + F.substring("o_orderpriority", 1, 1).cast("long") - 1
+    k = F.pmod(F.col("o_orderkey"), F.lit(SQUARE_MODULUS))
+    return orders.select(source.alias("source"),
+                         F.pmod(source * 31 + k * k + F.col("o_orderkey"), n).alias("target"),
+                         epoch_seconds(F.col("o_orderdate")).alias("timestamp"),
+                         F.col("o_totalprice").cast("double").alias("amount"))
 
 
 def tx_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cust = table(spark, sf_dir, "customer")
+    accounts = F.explode(F.array(*[F.lit(k) for k in range(ACCOUNTS)]))
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", accounts.alias("k"))
+    node = F.col("c_custkey") * ACCOUNTS + F.col("k")
     neg = F.col("c_acctbal") < 0
     return cust.select(
-        F.col("c_custkey").alias("node"),
-        F.col("c_custkey").cast("string").alias("address"),
+        node.alias("node"),
+        node.cast("string").alias("address"),
         F.when(neg, 1).otherwise(0).cast("int").alias("isp"),
-        F.when(neg | (F.pmod(F.col("c_custkey"), F.lit(10)) == 0), 1).otherwise(0).cast("int").alias("is_anchor"),
+        F.when(neg | (F.pmod(node, F.lit(10)) == 0), 1).otherwise(0).cast("int").alias("is_anchor"),
     )
 
 
@@ -68,16 +76,17 @@ def pub_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # DuckDB twins (used by the oracle SQL).
-TX_EDGES_SQL = """(SELECT o_custkey AS source,
-       ((o_custkey % nc.n) * 31 + (o_orderkey % nc.n) * (o_orderkey % nc.n) + o_orderkey % nc.n) % nc.n AS target,
+TX_EDGES_SQL = f"""(SELECT source,
+       (source * 31 + (o_orderkey % {SQUARE_MODULUS}) * (o_orderkey % {SQUARE_MODULUS}) + o_orderkey) % nc.n AS target,
        cast(epoch(o_orderdate) AS BIGINT) AS "timestamp",
        cast(o_totalprice AS DOUBLE) AS amount
-  FROM orders, (SELECT count(*) AS n FROM customer) AS nc WHERE o_orderpriority = '1-URGENT')"""
+  FROM (SELECT *, o_custkey * {ACCOUNTS} + cast(substr(o_orderpriority, 1, 1) AS BIGINT) - 1 AS source FROM orders),
+       (SELECT {ACCOUNTS} * count(*) AS n FROM customer) AS nc)"""
 
-TX_NODES_SQL = """(SELECT c_custkey AS node, cast(c_custkey AS VARCHAR) AS address,
+TX_NODES_SQL = f"""(SELECT node, cast(node AS VARCHAR) AS address,
        CAST(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS INTEGER) AS isp,
-       CAST(CASE WHEN c_acctbal < 0 OR c_custkey % 10 = 0 THEN 1 ELSE 0 END AS INTEGER) AS is_anchor
-  FROM customer)"""
+       CAST(CASE WHEN c_acctbal < 0 OR node % 10 = 0 THEN 1 ELSE 0 END AS INTEGER) AS is_anchor
+  FROM (SELECT *, c_custkey * {ACCOUNTS} + k AS node FROM customer, range({ACCOUNTS}) r(k)))"""
 
 PUB_CLASSES_SQL = """(SELECT cast(vec_id AS VARCHAR) AS "txId",
        CASE WHEN label = 0 THEN '1' WHEN label BETWEEN 1 AND 6 THEN '2' ELSE 'unknown' END AS label

@@ -41,9 +41,16 @@ def test_roots_come_before_triangles(spark):
         assert [[round(x, 9) for x in r] for r in some] == [[round(x, 9) for x in r] for r in every]
 
 
-def test_fixture_scan_is_pruned_and_filtered(spark):
-    plan = _plan(fx.tx_edges(spark, "/root/testdata/sf0.001"))
+def test_fixture_scan_is_pruned_and_whole(spark):
+    folder = "/root/testdata/sf0.001"
+    edges = fx.tx_edges(spark, folder)
+    plan = _plan(edges)
     scan = [l for l in plan.split("\n") if "FileScan parquet" in l][0]
-    assert "o_orderstatus" not in scan                      # column pruning
-    assert "o_orderpriority" in scan and "1-URGENT" in scan  # filter pushed to the scan
+    assert "o_orderstatus" not in scan                       # column pruning
     _no_product(plan)
+    # every order is a transaction between two accounts
+    nodes = fx.tx_nodes(spark, folder)
+    assert edges.count() == fx.table(spark, folder, "orders").count()
+    assert nodes.count() == fx.ACCOUNTS * fx.table(spark, folder, "customer").count()
+    assert edges.join(nodes, edges["target"] == nodes["node"], "left_anti").isEmpty()
+    assert edges.join(nodes, edges["source"] == nodes["node"], "left_anti").isEmpty()
