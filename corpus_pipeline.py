@@ -60,8 +60,9 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose expected token shares meet the raked targets."""
-    return mixing.sample(docs, temper=TEMPER)
+    """As many tokens as before, in expectation, in the raked shares: documents
+    of common cells are thinned a little, those of rare cells repeated."""
+    return mixing.resample(docs, temper=TEMPER)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

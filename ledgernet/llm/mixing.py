@@ -11,6 +11,14 @@ Targets: a marginal's shares are its token shares to the power ``temper``,
 scaled to sum to 1 (0: all equal, 1: as they are), or a table of the caller's
 with ``value, share``.  A value without a target keeps no weight.
 
+``resample`` needs no largest ratio: its token budget is that of the input, so
+a document's expected number of copies is its cell's ``fitted * all tokens /
+tokens``, of which the whole part is given and the rest drawn.  A rare cell
+gets copies and takes nothing from the others.  It rakes until no marginal is
+off its targets by more than ``TOLERANCE`` in all, or until that no longer
+falls (targets that no weights meet, as with a source and a language in one
+document only), and logs rounds, residual and weights.
+
 Cells and marginals are aggregated map-side, so a source with a third of all
 rows is one row a task.  The cell table is broadcast to the documents only if
 it has at most ``BROADCAST_CELLS`` rows, else joined by its keys, where AQE
@@ -24,12 +32,19 @@ rows; further columns are ignored or kept as they are.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgernet.session import scratch_table
 
+logger = logging.getLogger(__name__)
+
 ROUNDS, TEMPER, SEED = 6, 0.7, "mix"
+#: Raking of ``resample``: the residual at which it ends, and the fall of it
+#: in a round below which it does not get there.
+TOLERANCE, LEAST_FALL = 1e-6, 0.01
 BROADCAST_CELLS = 20_000
 MARGINALS = ("source", "lang", "topic")
 
@@ -62,6 +77,15 @@ def tempered(cells: DataFrame, by: str, temper: float = TEMPER) -> DataFrame:
     return sums.select("value", (F.col("w") / F.lit(total or 1.0)).alias("share"))
 
 
+def _round(fitted: DataFrame, goals: dict[str, DataFrame]) -> DataFrame:
+    for by, goal in goals.items():
+        sums = fitted.groupBy(by).agg(F.sum("fitted").alias("have")).where("have > 0")
+        scale = sums.join(goal, by).select(by, (F.col("share") / F.col("have")).alias("scale"))
+        fitted = (fitted.join(scale, by, "left")
+                  .withColumn("fitted", F.coalesce(F.col("fitted") * F.col("scale"), F.lit(0.0))).drop("scale"))
+    return scratch_table(fitted)
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """``cells(source, lang, topic, tokens)`` with ``fitted``, their calibrated
     shares; nulls must have been replaced."""
@@ -69,12 +93,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     goals = {by: scratch_table(targets[by].select(F.col("value").alias(by), "share")) for by in targets}
     fitted = scratch_table(cells.withColumn("fitted", F.col("tokens") / F.lit(float(total or 1))))
     for _ in range(rounds):
-        for by, goal in goals.items():
-            sums = fitted.groupBy(by).agg(F.sum("fitted").alias("have")).where("have > 0")
-            scale = sums.join(goal, by).select(by, (F.col("share") / F.col("have")).alias("scale"))
-            fitted = (fitted.join(scale, by, "left")
-                      .withColumn("fitted", F.coalesce(F.col("fitted") * F.col("scale"), F.lit(0.0))).drop("scale"))
-        fitted = scratch_table(fitted)
+        fitted = _round(fitted, goals)
     return fitted
 
 
@@ -89,6 +108,43 @@ def probabilities(measured: DataFrame, temper: float = TEMPER, rounds: int = ROU
     return fitted.withColumn("probability", F.col("ratio") / F.lit(most or 1.0)).drop("ratio")
 
 
+def residual(cells: DataFrame, targets: dict[str, DataFrame]) -> float:
+    """The largest, over the marginals, sum of the differences of ``fitted``
+    shares from the targets."""
+    off = []
+    for by, goal in targets.items():
+        have = cells.groupBy(F.col(by).alias("value")).agg(F.sum("fitted").alias("have"))
+        off.append(have.join(goal, "value", "full").agg(F.sum(F.abs(
+            F.coalesce("have", F.lit(0.0)) - F.coalesce("share", F.lit(0.0))))).first()[0] or 0.0)
+    return max(off)
+
+
+def weights(measured: DataFrame, temper: float = TEMPER, targets: dict[str, DataFrame] | None = None,
+            tolerance: float = TOLERANCE) -> DataFrame:
+    """``source, lang, topic, tokens, fitted, weight`` of every cell of
+    ``measured(source, lang, topic, tokens)``: ``weight`` is a document's
+    expected number of copies at the input's number of tokens."""
+    fitted = scratch_table(measured.where("tokens > 0").groupBy(*MARGINALS).agg(F.sum("tokens").alias("tokens")))
+    total = fitted.agg(F.sum("tokens")).first()[0] or 0
+    goals = {by: scratch_table(goal) for by, goal in
+             (targets or {by: tempered(fitted, by, temper) for by in MARGINALS}).items()}
+    fitted = fitted.withColumn("fitted", F.col("tokens") / F.lit(float(total or 1)))
+    by_name = {by: goal.withColumnRenamed("value", by) for by, goal in goals.items()}
+    off, last, rounds = residual(fitted, goals), float("inf"), 0
+    while off > tolerance and off < (1 - LEAST_FALL) * last:
+        fitted = _round(fitted, by_name)
+        rounds += 1
+        last, off = off, residual(fitted, goals)
+    out = fitted.withColumn("weight", F.col("fitted") * F.lit(float(total)) / F.col("tokens"))
+    least, most, kept = out.agg(F.min("weight"), F.max("weight"), F.sum(
+        F.least("weight", F.lit(1.0)) * F.col("tokens"))).first()
+    if total:
+        logger.log(logging.INFO if off <= tolerance else logging.WARNING,
+                   "raked in %d rounds, residual %.3g; weights %.4g to %.4g; %.4f of the tokens are expected to stay",
+                   rounds, off, least, most, kept / total)
+    return out
+
+
 def _measured(docs: DataFrame) -> DataFrame:
     null = F.lit("(none)")
     return (docs.withColumn("__source", F.coalesce(F.col("source").cast("string"), null))
@@ -124,3 +180,16 @@ def sample(docs: DataFrame, temper: float = TEMPER, rounds: int = ROUNDS, seed:
     cells = scratch_table(_names(measured).groupBy(*MARGINALS).agg(F.sum("tokens").alias("tokens")))
     kept = _with_probability(measured, probabilities(cells, temper, rounds, targets)).where(draw(seed) < F.col("__p"))
     return kept.select(*docs.columns)
+
+
+def resample(docs: DataFrame, temper: float = TEMPER, seed: str = SEED,
+             targets: dict[str, DataFrame] | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """The rows of ``docs`` with all their columns, each as often as its cell's
+    weight says: the whole part of it, and once more with the rest of it as
+    probability."""
+    measured = _measured(docs)
+    cells = scratch_table(_names(measured).groupBy(*MARGINALS).agg(F.sum("tokens").alias("tokens")))
+    weighted = weights(cells, temper, targets, tolerance).withColumnRenamed("weight", "probability")
+    copies = F.floor("__p") + (draw(seed) < F.col("__p") - F.floor("__p")).cast("long")
+    return (_with_probability(measured, weighted).withColumn("__n", copies.cast("int")).where("__n > 0")
+            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns))

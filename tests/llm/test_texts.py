@@ -232,6 +232,30 @@ def test_mixing_edge_cases_and_shares(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_a_rare_cell_does_not_thin_the_others(spark, caplog):
+    r = random.Random(11)
+    rows = [(k, f"s{k % 3}", r.choice(["en", "de"]), "w " * r.randint(50, 150)) for k in range(3000)]
+    rows += [(9000, "new", "xx", "one two three four five"), (9001, "s0", "en", " "), (9002, None, "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    with caplog.at_level("INFO", logger=mixing.__name__):
+        got = [x["doc_id"] for x in mixing.resample(docs, temper=0.7).collect()]
+    common = {i for i in got if i < 3000}
+    assert len(common) > 0.9 * 3000 and got.count(9000) > 1 and not {9001, 9002} & set(got)
+    assert "residual" in caplog.text
+    # the budget and, where targets can be met, the shares
+    few = docs.where("doc_id < 3000")
+    cells = mixing.weights(mixing._names(mixing._measured(few)), 0.3).toPandas()
+    assert abs((cells.weight * cells.tokens).sum() / cells.tokens.sum() - 1) < 1e-6
+    for by in mixing.MARGINALS:
+        raw = cells.groupby(by).tokens.sum() ** 0.3
+        assert ((cells.groupby(by).fitted.sum() - raw / raw.sum()).abs() < 2e-6).all()
+    out = mixing.resample(few, temper=0.3)
+    assert out.columns == few.columns
+    tokens = sum(len(x["text"].split()) for x in out.collect())
+    assert abs(tokens / cells.tokens.sum() - 1) < 0.05
+    assert mixing.resample(docs.limit(0)).count() == 0
+
+
 def test_topk_is_brute_force(spark):
     rng = np.random.default_rng(8)
     rows = [(k, np.round(rng.normal(size=6), 1).tolist()) for k in range(400)]  # many ties
