@@ -25,7 +25,7 @@ TEMPER = 0.9
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language ID rejects (no letters, or no margin) go."""
+    """Documents that language ID rejects (no letters, or a narrow margin) go."""
     return lid.keep_identified(docs)
 
 
