@@ -6,19 +6,21 @@ similarity of 0.8 or more.
 
 1. Equal sets form a class, represented by its smallest ``doc_id``.
 2. A class is embedded as ``COORDS`` min-hashes (token = coordinate, value).
-   In each of ``RUNS`` runs a set follows the paths of the tokens that its
-   node samples (each with probability 1 / (similarity * COORDS), seeded by
-   the path, so that similar sets choose alike).  A bucket of at most
-   ``SMALL`` sets is compared by brute force on the sketches; a larger one is
+   In each of ``RUNS`` runs, which has ``TOKENS`` of the min-hashes to itself,
+   a set follows the paths of the tokens that its node samples (each with
+   probability 1 / (similarity * TOKENS), seeded by the path, so that similar
+   sets choose alike).  A bucket of at most ``SMALL`` sets is compared by brute
+   force on the sketches; a larger one is
    split on, up to ``DEPTH`` tokens; what is still large then (a group of
    near copies, which no token splits) goes on as one candidate group.
 3. Sets that look similar enough form candidate groups; all pairs inside a
    group are verified exactly on the shingle sets, in blocks (``pair_blocks``)
    that return counts and local components, not pairs.
 
-A pair of similarity s misses one run of one token with probability 1 - s, all
-``RUNS`` with less than 1e-6 at s = 0.8 (three tokens deep: 1e-3); nothing
-found is below the threshold.
+A pair at the threshold is lost if no run brings it into one bucket (``miss``;
+at 0.8, ``DEPTH`` tokens deep, 1.6e-7; one token deep 5e-11) or if its sketches
+agree too little (``least_agreement``: below ``SKETCH_MISS``; at 0.8, fewer than
+34 of 64, 3.2e-7): in all less than 1e-6.  Nothing found is below the threshold.
 
 Defined results: null or blank texts link with nothing; rows that share a
 ``doc_id`` are one document (the smallest set digest stands for it); a null
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +48,11 @@ from ledgernet.session import scratch_table
 U = np.uint64
 SHINGLE, SIMILARITY = 5, 0.8
 COORDS, RUNS, DEPTH, SMALL = 64, 12, 3, 200
-#: Sketch agreement (of COORDS) from which two sets become candidates: three
-#: standard errors below 0.8.
-SLACK = 0.15
+#: Min-hashes of each run's own (RUNS * TOKENS <= COORDS); the low bits of a
+#: path name its run.
+TOKENS, RUN_BITS = 5, 4
+#: Chance that a pair at the threshold agrees in too few coordinates.
+SKETCH_MISS = 5e-7
 #: Sets and shingles of a verification block.
 BLOCK_SETS, BLOCK_SHINGLES = 2048, 1_500_000
 
@@ -55,6 +60,32 @@ _A = (rolling.mix(np.arange(1, COORDS + 1, dtype=U) * U(0x9E3779B97F4A7C15)).ast
 _B = rolling.mix(np.arange(1001, COORDS + 1001, dtype=U)).astype(np.uint32)
 
 
+def _binomial(n: int, p: float) -> list[float]:
+    return [comb(n, k) * p ** k * (1 - p) ** (n - k) for k in range(n + 1)]
+
+
+def least_agreement(similarity: float) -> int:
+    """Sketch agreement (of COORDS) from which two sets become candidates."""
+    below, chances = 0.0, _binomial(COORDS, similarity)
+    for k, chance in enumerate(chances):
+        below += chance
+        if below > SKETCH_MISS:
+            return max(k, 1)
+    return COORDS
+
+
+def miss(similarity: float, runs: int = RUNS, depth: int = DEPTH) -> float:
+    """Chance that no run brings a pair into one bucket of ``depth`` tokens."""
+    share, one = min(1.0, 1 / (similarity * TOKENS)), 0.0
+    for same, chance in enumerate(_binomial(TOKENS, similarity)):
+        found = 1.0
+        for _ in range(depth):
+            # none of the sampled tokens leads there, or none is sampled and the stand-in doesn't
+            found = 1 - (1 - share * found) ** same + (1 - share) ** TOKENS * same / TOKENS * found
+        one += chance * (1 - found)
+    return one ** runs
+
+
 def shingle_sets(column: pa.Array, n: int):
     """``(rows, sets)``: for each row with words its sorted shingle hashes."""
     buf, offsets = text_buffer(column)
@@ -104,15 +135,21 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 def _follow(similarity: float, runs: int, root: bool):
     """Child paths of every (path, set); at the root, of every run."""
-    share = U(int((1 << 64) / (similarity * COORDS)))
+    if runs * TOKENS > COORDS:
+        raise ValueError(f"{runs} runs need {runs * TOKENS} min-hashes of their own, there are {COORDS}")
+    share = U(int((1 << 64) * min(1.0, 1 / (similarity * TOKENS)) * (1 - 2.0 ** -52)))
     coord = rolling.mix(np.arange(COORDS, dtype=U) + U(77))
+    low = U((1 << RUN_BITS) - 1)
 
     def children(paths: np.ndarray, sig: np.ndarray):
-        draw = rolling.mix(paths[:, None] ^ coord[None, :])
+        own = (paths & low).astype(np.int64)[:, None] * TOKENS + np.arange(TOKENS)
+        draw = rolling.mix(paths[:, None] ^ coord[own])
         chosen = draw < share
-        chosen[np.arange(len(paths)), draw.argmin(axis=1)] = True
-        at, c = np.nonzero(chosen)
-        return at, rolling.mix(draw[at, c] + U(1) + sig[at, c].astype(U) * U(0x9E3779B97F4A7C15))
+        none = np.flatnonzero(~chosen.any(axis=1))
+        chosen[none, draw[none].argmin(axis=1)] = True
+        at, k = np.nonzero(chosen)
+        child = rolling.mix(draw[at, k] + U(1) + sig[at, own[at, k]].astype(U) * U(0x9E3779B97F4A7C15))
+        return at, (child & ~low) | (paths[at] & low)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,8 +157,8 @@ def _follow(similarity: float, runs: int, root: bool):
                 part = b.slice(at, 4096)
                 sig = _signatures(part.column("sig"))
                 if root:
-                    starts = [np.full(len(sig), rolling.mix(np.array([r + 1], U) * U(0xD1342543DE82EF95))[0], U)
-                              for r in range(runs)]
+                    seeds = rolling.mix(np.arange(1, runs + 1, dtype=U) * U(0xD1342543DE82EF95))
+                    starts = [np.full(len(sig), (seeds[r] & ~low) | U(r), U) for r in range(runs)]
                 else:
                     starts = [part.column("path").to_numpy().view(U)]
                 for paths in starts:
@@ -161,7 +198,7 @@ def _compare_buckets(least: int):
 def candidate_links(sets: DataFrame, similarity: float = SIMILARITY, runs: int = RUNS, depth: int = DEPTH,
                     small: int = SMALL) -> DataFrame:
     """``sets(node, sig)`` → links ``a, b`` that join all likely similar sets."""
-    least = max(1, int((similarity - SLACK) * COORDS))
+    least = least_agreement(similarity)
     paths = sets.mapInArrow(_follow(similarity, runs, root=True), "path long, node long")
     links = None
     for level in range(1, depth + 1):
