@@ -7,9 +7,11 @@ shorter, the template rewrites history; the turn is marked and gets an empty
 piece.  The loss mask is found in the same way, from a rendering in which the
 turn's text is one private character: it covers what stands in its place.
 
-A conversation of any length streams through its task, sorted by turn: the
-template sees the first turn and at most ``CONTEXT - 1`` turns before the
-current one, all of them for conversations up to ``CONTEXT`` turns.
+A conversation streams through its task, sorted by turn, and the template sees
+all turns up to the current one.  Only a template that its owner declares local
+(``template.context = n``, as the default template does, or the ``context``
+argument) sees the first turn and the last ``n - 2`` turns before the current
+one once there are ``n``; its pieces must not depend on the turns between.
 
 Defined results: null text or role is empty; null turns come first; equal turns
 stand in the order of role and text; a null ``conv_id`` is one conversation; an
@@ -59,18 +61,23 @@ def turn_template(turns: list[Turn]) -> str:
     return "".join(_marked_turn(t["role"], t["text"]) for t in turns)
 
 
+#: Each turn is rendered alone.
+turn_template.context = CONTEXT
+
+
 class Renderer:
     """Renders the turns of one conversation after another's end."""
 
-    def __init__(self, template: Template, context: int = CONTEXT):
-        self.template, self.context = template, context
+    def __init__(self, template: Template, context: int | None = None):
+        self.template = template
+        self.context = getattr(template, "context", None) if context is None else context
         self.turns: list[Turn] = []
 
     def push(self, turn: Turn) -> tuple[str, int, int, bool]:
         """``(piece, mask start, mask end, rewritten)`` of the next turn: the
         characters that it adds, and where its text stands in them."""
         before = self.turns
-        if len(before) >= self.context:
+        if self.context is not None and len(before) >= self.context:
             before = [before[0], *before[len(before) - self.context + 2:]]
             self.turns = before
         old = self.template(before)
@@ -90,7 +97,7 @@ class Renderer:
         return piece, start, end, rewritten
 
 
-def _render(template: Template, context: int, learn_from: str):
+def _render(template: Template, context: int | None, learn_from: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, renderer, at, n = object(), None, 0, 0
         for b in batches:
@@ -115,7 +122,7 @@ def _render(template: Template, context: int, learn_from: str):
 _PIECE = "conv_id long, seq long, span_start long, piece string, loss_start long, loss_end long, rewritten boolean"
 
 
-def chat_format(conversations: DataFrame, template: Template = turn_template, context: int = CONTEXT,
+def chat_format(conversations: DataFrame, template: Template = turn_template, context: int | None = None,
                 learn_from: str = "assistant") -> DataFrame:
     """One row per turn: ``conv_id, seq`` (from 0), ``span_start`` (place of the
     turn's ``piece`` in the conversation's output, the pieces in order),
