@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ledgernet.llm import chat_format as chat
 from ledgernet.llm import embedding_dedup as emb
 from ledgernet.llm import language_id as lid
-from ledgernet.llm import mixing, ngram_join, packing, substring_dedup, suffix_dedup, token_output
+from ledgernet.llm import license_scan as licenses
+from ledgernet.llm import merkle_manifest as merkle
+from ledgernet.llm import mixing, ngram_join, packing, prefix_trie, substring_dedup, suffix_dedup, token_output
 from ledgernet.llm import topk_search as topk
 from ledgernet.llm.common import table
 
@@ -188,6 +190,117 @@ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_re
   sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8 bytes in DuckDB SQL."""
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, _: xor(r >> 1, 3988292384 * (r & 1)))"
+    code = f"list_transform(string_split({text}, ''), lambda ch: cast(ascii(ch) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(cast(4294967295 AS BIGINT), {code}), lambda c, b: {step}), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE t AS MATERIALIZED (
+  SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+    cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS r
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS MATERIALIZED (
+  SELECT *, {_crc32_sql("cast(conv_id AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+own AS (SELECT c.conv_id, 1 AS part, r, id, words FROM c JOIN t USING (conv_id) WHERE r > h),
+taken AS (SELECT c.conv_id, 0 AS part, r, id, words FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 WHERE r <= h),
+p AS MATERIALIZED (
+  SELECT conv_id, id, words, row_number() OVER (PARTITION BY conv_id ORDER BY part, r) AS d
+  FROM (FROM own UNION ALL FROM taken)),
+n AS MATERIALIZED (SELECT conv_id, (SELECT count(*) FROM p WHERE p.conv_id = c.conv_id) AS len FROM c),
+chain(conv_id, d, node, words) AS (
+  SELECT conv_id, cast(0 AS BIGINT), '', cast(0 AS BIGINT) FROM c
+  UNION ALL
+  SELECT p.conv_id, p.d, sha256(chain.node || p.id), p.words
+  FROM chain JOIN p ON p.conv_id = chain.conv_id AND p.d = chain.d + 1),
+m AS MATERIALIZED (FROM chain),
+nodes AS MATERIALIZED (
+  SELECT d, node, min(m.conv_id) AS conv_id, count(*) AS n_convs, max(len) AS longest, max(words) AS words,
+    sha256(coalesce(string_agg(cast(m.conv_id AS VARCHAR), ',' ORDER BY m.conv_id) FILTER (len = d), '')) AS ends
+  FROM m JOIN n ON n.conv_id = m.conv_id GROUP BY d, node),
+up AS MATERIALIZED (
+  SELECT nodes.d, nodes.node, a.d AS above, a.node AS over FROM nodes JOIN m a ON a.conv_id = nodes.conv_id AND a.d <= nodes.d),
+s AS (
+  SELECT above AS d, over AS node, cast(sum(CASE WHEN longest = nodes.d THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves,
+    cast(sum((n_convs - 1) * words) AS BIGINT) AS saved_tokens,
+    cast(sum(CASE WHEN nodes.d = above + 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_children
+  FROM up JOIN nodes USING (d, node) GROUP BY above, over)
+SELECT x.conv_id, x.d AS depth, y.conv_id AS parent_conv_id, x.n_convs, n_children, n_leaves, saved_tokens,
+  x.ends AS ends_sha256
+FROM nodes x JOIN s USING (d, node) LEFT JOIN up u ON u.d = x.d AND u.node = x.node AND u.above = x.d - 1
+LEFT JOIN nodes y ON y.d = u.above AND y.node = u.over"""
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+def _field_sql(name: str) -> str:
+    return f"coalesce(octet_length(encode(cast({name} AS VARCHAR))) || ':' || {name}, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE l AS MATERIALIZED (
+  SELECT doc_id, coalesce('+' || source, '') AS src, {_leaf_sql("text")} AS leaf,
+    CASE WHEN {_crc32_sql("cast(doc_id AS VARCHAR)")} % 5 = 0
+      THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS claim,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n
+  FROM documents),
+lower(src, lvl, idx, n, d) AS (
+  SELECT src, 0, idx, n, leaf FROM l
+  UNION ALL
+  SELECT src, lvl + 1, idx // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY idx))
+  FROM lower WHERE n > 1 GROUP BY src, lvl, idx // 16, n),
+lo AS MATERIALIZED (FROM lower),
+r AS MATERIALIZED (SELECT src, lvl AS height, d AS subroot, row_number() OVER (ORDER BY src) - 1 AS idx, count(*) OVER () AS n
+  FROM lo WHERE n = 1),
+upper(lvl, idx, n, d) AS (
+  SELECT 0, idx, n, subroot FROM r
+  UNION ALL
+  SELECT lvl + 1, idx // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY idx))
+  FROM upper WHERE n > 1 GROUP BY lvl, idx // 16, n),
+hi AS MATERIALIZED (FROM upper),
+nodes AS MATERIALIZED (
+  SELECT src AS tree, lvl, idx, d, n FROM lo UNION ALL SELECT '*', lvl, idx, d, n FROM hi),
+way AS MATERIALIZED (
+  SELECT l.src, l.idx AS leaf_no, x.lvl AS hop, x.tree, x.lvl, x.idx FROM l JOIN nodes x
+    ON x.tree = l.src AND x.n > 1 AND x.idx = l.idx // cast(pow(16, x.lvl) AS BIGINT)
+  UNION ALL
+  SELECT l.src, l.idx, r.height + x.lvl, x.tree, x.lvl, x.idx FROM l JOIN r USING (src) JOIN nodes x
+    ON x.tree = '*' AND x.n > 1 AND x.idx = r.idx // cast(pow(16, x.lvl) AS BIGINT)),
+sib AS MATERIALIZED (
+  SELECT w.src, leaf_no, hop, coalesce(string_agg(x.d, '' ORDER BY x.idx) FILTER (x.idx < w.idx), '') AS a,
+    coalesce(string_agg(x.d, '' ORDER BY x.idx) FILTER (x.idx > w.idx), '') AS z
+  FROM way w JOIN nodes x ON x.tree = w.tree AND x.lvl = w.lvl AND x.idx // 16 = w.idx // 16 GROUP BY w.src, leaf_no, hop, w.idx),
+fold(src, leaf_no, hop, d) AS (
+  SELECT src, idx, 0, coalesce(claim, leaf) FROM l
+  UNION ALL
+  SELECT f.src, f.leaf_no, f.hop + 1, sha256(s.a || f.d || s.z) FROM fold f JOIN sib s
+    ON s.src = f.src AND s.leaf_no = f.leaf_no AND s.hop = f.hop),
+folded AS (SELECT src, leaf_no, arg_max(d, hop) AS d FROM fold GROUP BY src, leaf_no),
+proof AS (SELECT src, leaf_no, string_agg(a || z, '' ORDER BY hop) AS t FROM sib GROUP BY src, leaf_no)
+SELECT l.doc_id, l.leaf, r.subroot, h.d AS root, sha256(coalesce(t, '')) AS proof_sha256, f.d AS folded_root,
+  f.d = h.d AS verified
+FROM l JOIN r USING (src) JOIN hi h ON h.n = 1 LEFT JOIN folded f ON f.src = l.src AND f.leaf_no = l.idx
+LEFT JOIN proof p ON p.src = l.src AND p.leaf_no = l.idx"""
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents")).withColumn(
+        "n_spans", F.size("spans").cast("long")).drop("spans")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -196,7 +309,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = [op1_suffix_array_dedup, op2_chat_format, op3_mixing, op4_exact_topk, op5_ngram_jaccard_join,
             op6_embedding_near_dedup, op7_language_id, op8_token_files, op9_best_fit_packing, op10_substring_dedup,
-            pipeline]
+            op11_conversation_trie, op12_merkle_manifest, op13_license_scan, pipeline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -205,4 +318,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_chat_format": OP2_SQL, "op3_mixing": _op3_sql(), "op4_exact_topk": OP4_SQL,
-            "op5_ngram_jaccard_join": OP5_SQL, "op6_embedding_near_dedup": OP6_SQL, "op10_substring_dedup": OP10_SQL}
+            "op5_ngram_jaccard_join": OP5_SQL, "op6_embedding_near_dedup": OP6_SQL, "op10_substring_dedup": OP10_SQL,
+            "op11_conversation_trie": OP11_SQL, "op12_merkle_manifest": OP12_SQL}

@@ -145,12 +145,13 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(buf: np.ndarray, offsets: np.ndarray,
+               separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word of the rows, and the n+1 borders of
     the rows' words."""
     lo, hi = int(offsets[0]), int(offsets[-1])
     text = buf[lo:hi]
-    inside = ~_SEPARATOR[text]
+    inside = ~separator[text]
     row_start = np.zeros(len(text) + 1, bool)
     row_start[offsets[:-1] - lo] = True
     begins, ends = inside.copy(), inside.copy()
