@@ -23,6 +23,7 @@ from ledgernet.operators import sampling as smp
 from ledgernet.operators import traverse as trv
 from ledgernet.operators import walks as wk
 from ledgernet.operators.scaling import minmax_scale, zscore
+from ledgernet.operators.skipgram import skip_gram
 from ledgernet.session import cut_lineage, scratch_table
 
 
@@ -60,37 +61,56 @@ def graph_preparation(edges: DataFrame, features: DataFrame | None = None, ranki
 
 
 # ------------------------------------------------------------------ L4
+FLAGS = ("sp", "wl", "na", "n2v")
+
+
+def structural_corpus(edge_list: DataFrame, flag: str = "wl", node_attributes: DataFrame | None = None,
+                      walk_length: int = 10, num_walks: int = 80, until_k: int = 4, p: float = 1.0, q: float = 1.0,
+                      seed: int = 42, discount: bool = True, stub_sources: bool = False,
+                      max_rows: int = trv.MAX_BALL_ROWS) -> DataFrame:
+    """``root, walk_no, tokens``: ball-confined biased walks from every
+    node, relabelled with role ids, in batches of roots."""
+    if flag not in FLAGS:
+        raise ValueError(f"unknown flag {flag!r}")
+    if flag == "na" and node_attributes is None:
+        raise ValueError("flag 'na' needs node attributes")
+    w = gr.read_weighted(edge_list)
+    simple = w.select("source", "target")
+    roots = gr.graph_nodes(simple)
+    transitions = scratch_table(wk.first_order_transitions(w))
+    if flag == "na":
+        node_attributes = cut_lineage(node_attributes)
+
+    def corpus_of(some: DataFrame) -> DataFrame:
+        ball = trv.k_hop_ball(simple, some, until_k)
+        walks = wk.simulate_walks(w, some, num_walks, walk_length, seed=seed, p=p, q=q, ball=ball, until_k=until_k,
+                                  stub_sources=stub_sources, transitions=transitions)
+        if flag == "sp":
+            roles = trv.sp_roles(ball, gr.out_degrees(roots, simple), discount)
+        elif flag == "wl":
+            roles = trv.wl_roles(ball, simple, until_k, discount)
+        elif flag == "na":
+            roles = trv.na_roles(ball, simple, node_attributes, until_k, discount)
+        else:
+            roles = None
+        return trv.relabel_walks(walks, roles)
+
+    return trv.in_root_batches(simple, roots, until_k, corpus_of, max_rows)
+
+
 def structural_embedding(edge_list: DataFrame, flag: str = "wl", node_attributes: DataFrame | None = None,
                          dimensions: int = 128, walk_length: int = 10, num_walks: int = 80,
                          window_size: int = 10, until_k: int = 4, epochs: int = 5, p: float = 1.0,
                          q: float = 1.0, seed: int = 42, discount: bool = True, stub_sources: bool = False,
-                         num_partitions: int = emb.TRAIN_PARTITIONS):
+                         max_rows: int = trv.MAX_BALL_ROWS):
     """L4: k-hop balls -> confined biased walks -> role relabelling -> skip-gram
     -> vectors of the original nodes.  Returns ``(embeddings, seconds, corpus)``."""
-    if flag not in ("sp", "wl", "na", "n2v"):
-        raise ValueError(f"unknown flag {flag!r}")
     t0 = time.time()
-    w = gr.read_weighted(edge_list)
-    simple = w.select("source", "target")
-    roots = gr.graph_nodes(simple)
-    ball = trv.k_hop_ball(simple, roots, until_k)
-    walks = wk.simulate_walks(w, roots, num_walks, walk_length, seed=seed, p=p, q=q,
-                              ball=ball, until_k=until_k, stub_sources=stub_sources)
-    if flag == "sp":
-        roles = trv.sp_roles(ball, gr.out_degrees(roots, simple), discount)
-    elif flag == "wl":
-        roles = trv.wl_roles(ball, simple, until_k, discount)
-    elif flag == "na":
-        if node_attributes is None:
-            raise ValueError("flag 'na' needs node attributes")
-        roles = trv.na_roles(ball, simple, node_attributes, until_k, discount)
-    else:
-        roles = None
-    corpus = trv.relabel_walks(walks, roles)
-    vectors = emb.skip_gram(corpus, dimensions, window_size, epochs, min_count=0, seed=seed,
-                            num_partitions=num_partitions)
-    out = emb.root_vectors(vectors, roots)
-    return out, time.time() - t0, corpus
+    corpus = scratch_table(structural_corpus(edge_list, flag, node_attributes, walk_length, num_walks, until_k, p, q, seed,
+                                             discount, stub_sources, max_rows))
+    vectors = skip_gram(corpus, dimensions, window_size, epochs, min_count=0, seed=seed)
+    roots = gr.graph_nodes(gr.read_weighted(edge_list).select("source", "target"))
+    return emb.root_vectors(vectors, roots), time.time() - t0, corpus
 
 
 # ------------------------------------------------------------------ L5-L7
@@ -164,7 +184,7 @@ def node2vec_embedding(edge_list: DataFrame, dimensions: int = 64, walk_length:
     w = gr.read_weighted(edge_list)
     roots = gr.graph_nodes(w)
     walks = wk.simulate_walks(w, roots, num_walks, walk_length, seed=seed, p=p, q=q, overrides=overrides)
-    vectors = emb.skip_gram(trv.relabel_walks(walks, None), dimensions, window_size, epochs, min_count=1, seed=seed)
+    vectors = skip_gram(trv.relabel_walks(walks, None), dimensions, window_size, epochs, min_count=1, seed=seed)
     return emb.root_vectors(vectors, roots)
 
 

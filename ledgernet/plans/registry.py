@@ -741,13 +741,9 @@ GROUP BY ex.root, ex.walk_no""" if relabel else
 def q_structural_corpus_sp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R9 + T4 + T7: ball-confined walks (length 10, 80 per node, k = 4) over the
     weighted graph, relabelled with shortest-path role ids."""
-    w = gr.weighted_edge_list(fx.tx_edges(spark, sf_dir))
-    simple = w.select("source", "target")
-    roots = gr.graph_nodes(simple)
-    ball = trv.k_hop_ball(simple, roots, K_HOPS)
-    walks = wk.simulate_walks(w, roots, CORPUS_WALKS, CORPUS_LEN, seed=SEED, ball=ball, until_k=K_HOPS)
-    roles = trv.sp_roles(ball, gr.out_degrees(roots, simple))
-    return trv.relabel_walks(walks, roles).select(
+    corpus = pl.structural_corpus(gr.weighted_edge_list(fx.tx_edges(spark, sf_dir)), "sp", walk_length=CORPUS_LEN,
+                                  num_walks=CORPUS_WALKS, until_k=K_HOPS, seed=SEED)
+    return corpus.select(
         "root", F.col("walk_no").cast("long").alias("walk_no"), F.concat_ws(" ", "tokens").alias("walk"))
 
 

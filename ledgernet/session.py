@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,8 +67,6 @@ def scratch_table(df: DataFrame, partition_by: list[str] | None = None) -> DataF
     """Write ``df`` as Parquet under the shared checkpoint folder (optionally
     partitioned, so later filters on those columns prune files) and read it
     back: a lineage cut that also enables partition pruning."""
-    import uuid
-
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{base}/ledgernet-scratch-{uuid.uuid4().hex}"
     w = df.write.mode("overwrite")
@@ -73,3 +74,25 @@ def scratch_table(df: DataFrame, partition_by: list[str] | None = None) -> DataF
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours in the shared file system."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def passing_scratch(spark: SparkSession) -> Iterator[None]:
+    """Checkpoints and scratch tables written inside the block are deleted when
+    it ends: results that are to stay are written elsewhere before."""
+    sc = spark.sparkContext
+    shared = ensure_checkpoint_dir(spark).rstrip("/").rsplit("/", 1)[0]
+    inner = f"{shared}/passing-{uuid.uuid4().hex}"
+    sc.setCheckpointDir(inner)
+    try:
+        yield
+    finally:
+        sc.setCheckpointDir(shared)
+        delete_folder(spark, inner)
