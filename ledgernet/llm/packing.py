@@ -6,8 +6,8 @@ the sum, over the residual gaps, of the squared number of open sequences with
 that gap becomes smallest; ties go to the smaller gap.  Pieces are taken in
 falling order of length.
 
-Full pieces are sequences of their own.  The others are dealt by a hash over
-shards of about ``SHARD`` pieces, each a fair mix of the lengths, and every
+Full pieces are sequences of their own.  The others are dealt by a hash of piece
+and row number (so that equal rows spread) over shards of about ``SHARD`` pieces, each a fair mix of the lengths, and every
 shard is packed in one task (two numbers a piece).  The sequences of a shard
 that stay under ``FULL`` of their capacity are opened again and packed in a
 second round, over fewer shards, so that shards cost no more than their last
@@ -34,7 +34,7 @@ from ledgernet.session import scratch_table
 
 CAPACITY, SHARD, FULL = 2048, 65_536, 0.995
 #: Documents that are encoded together; words that a worker remembers.
-TEXTS, REMEMBERED = 128, 400_000
+TEXTS, REMEMBERED = 128, 800_000
 
 
 def _pieces(path: str, end_id: int, capacity: int):
@@ -116,7 +116,7 @@ _KINDS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def _round(pieces: DataFrame, n: int, first: int, shard: int, capacity: int) -> DataFrame:
     shards = max(1, -(-n // shard))
     return (pieces.withColumn("shard", F.lit(first) + F.pmod(
-                F.xxhash64(F.lit(first), *_PIECE), F.lit(shards)).cast("long"))
+                F.xxhash64(F.lit(first), *_PIECE, F.monotonically_increasing_id()), F.lit(shards)).cast("long"))
             .repartition("shard").sortWithinPartitions("shard", *_PIECE)
             .mapInArrow(_pack(capacity), _KINDS + ", sequence_id long, offset long, fill long"))
 
