@@ -114,19 +114,18 @@ def structural_embedding(edge_list: DataFrame, flag: str = "wl", node_attributes
 
 
 # ------------------------------------------------------------------ L5-L7
-def _split(df: DataFrame, seed: int, materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+def _split(df: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     # materialise the classification table once: the split counts it and then
-    # selects from it, and the wide feature plan must not run twice (inputs
-    # that are already a cheap scan pass materialize=False)
-    s = cut_lineage(smp.stratified_split(cut_lineage(df) if materialize else df, "y", "node", seed=seed))
+    # selects from it, and the wide feature plan must not run twice
+    s = cut_lineage(smp.stratified_split(cut_lineage(df), "y", "node", seed=seed))
     return s.filter(~F.col("is_test")).drop("is_test"), s.filter(F.col("is_test")).drop("is_test")
 
 
 def classify_table(table: DataFrame, feature_cols: list[str], flag: str, exp_id: str, seed: int = 42,
-                   minmax: bool = False, binary: bool = True, materialize: bool = True):
+                   minmax: bool = False, binary: bool = True):
     """Split (M4), optional min-max fitted on train (M1), RF + LR.
     ``table`` has ``node, y`` and the feature columns.  Returns (stats, rf, lr)."""
-    train, test = _split(table, seed, materialize)
+    train, test = _split(table, seed)
     if minmax:
         train_s = minmax_scale(train, feature_cols)
         test = minmax_scale(test, feature_cols, fit_on=train)
@@ -205,26 +204,26 @@ def published_baseline(published: DataFrame, classes: DataFrame, repetitions: in
     stratified split with seed ``base_seed + i`` and RF + LR.  Returns the
     stats rows of all repetitions (materialised).
 
-    All samples are drawn in one plan and checkpointed; the repetitions are
-    independent Spark jobs submitted from ``parallelism`` driver threads (the
-    same pattern as ``CrossValidator(parallelism=...)``)."""
+    All samples and splits are drawn in one plan and written once, partitioned
+    by repetition.  The L1 models of all repetitions are fitted by one solver;
+    the forests are independent Spark ML jobs submitted from ``parallelism``
+    driver threads (the same pattern as ``CrossValidator(parallelism=...)``)."""
     lab = feat.labeled_published(published, classes)
-    # one plan draws all repetitions; written once partitioned by ``rep`` so
-    # each repetition reads only its own files
-    samples = scratch_table(smp.balanced_undersample(lab, "label", "address", repetitions=repetitions,
-                                                     base_seed=base_seed), ["rep"])
     cols = [c for c in published.columns if c not in PUBLISHED_META]
-
-    def one(i: int) -> DataFrame:
-        s = samples.filter(F.col("rep") == i).select(F.col("address").alias("node"),
-                                                     feat.binary_label("label").alias("y"), *cols)
-        stats, _, _ = classify_table(s, cols, flag, f"{i};{exp_name}", seed=base_seed + i, materialize=False)
-        return cut_lineage(stats)
+    samples = smp.balanced_undersample(lab, "label", "address", repetitions=repetitions, base_seed=base_seed).select(
+        "rep", F.col("address").alias("node"), feat.binary_label("label").alias("y"), *cols)
+    split = scratch_table(smp.split_repetitions(scratch_table(samples), "rep", "y", "node", base_seed), ["rep"])
+    lr = clf.l1_repetitions(split.select(F.col("rep").cast("long").alias("rep"), "y", "is_test", F.array(
+        *[F.col(c).cast("double") for c in cols]).alias("features")), flag, exp_name)
+
+    def forest(i: int) -> DataFrame:
+        rows = cut_lineage(clf.assemble(split.filter(F.col("rep") == i), cols).select("node", "is_test", "label", "features"))
+        row, _ = clf.simple_classification(clf.random_forest(len(cols), seed=base_seed + i), "RF", flag,
+                                           rows.filter(~F.col("is_test")), rows.filter("is_test"), f"{i};{exp_name}")
+        return cut_lineage(row)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        parts = list(pool.map(one, range(repetitions)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out = cut_lineage(lr)
+        for part in pool.map(forest, range(repetitions)):
+            out = out.unionByName(part)
     return out
-

@@ -473,18 +473,19 @@ _BALL_SQL = f"""r(root, node, layer) AS (
 ball AS (SELECT root, node, CAST(min(layer) AS INTEGER) AS layer FROM r GROUP BY root, node)"""
 
 
-def _ball(spark: SparkSession, sf_dir: str):
-    edges = fx.tx_edges(spark, sf_dir)
-    simple = gr.simple_edges(edges)
-    roots = gr.graph_nodes(simple)
-    return simple, roots, trv.k_hop_ball(simple, roots, K_HOPS)
+def _on_balls(spark: SparkSession, sf_dir: str, work) -> DataFrame:
+    """``work(simple edges, all nodes, ball)`` for the balls of all nodes, in
+    batches of roots."""
+    simple = gr.simple_edges(fx.tx_edges(spark, sf_dir))
+    nodes = gr.graph_nodes(simple)
+    return trv.in_root_batches(simple, nodes, K_HOPS, lambda some: work(simple, nodes, trv.k_hop_ball(simple, some, K_HOPS)))
 
 
 @register("k_hop_ball", f"""WITH RECURSIVE {_GRAPH_SQL}, {_BALL_SQL}
 SELECT root, node, layer FROM ball""")
 def q_k_hop_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4-hop out-ball with BFS layer of every node of the graph."""
-    return _ball(spark, sf_dir)[2]
+    return _on_balls(spark, sf_dir, lambda simple, nodes, ball: ball)
 
 
 @register("in_ball_successors", f"""WITH RECURSIVE {_GRAPH_SQL}, {_BALL_SQL},
@@ -494,8 +495,7 @@ SELECT b.root, b.node, b.layer, CAST(coalesce(c.n, 0) AS BIGINT) AS n_in_ball
 FROM ball b LEFT JOIN c ON c.root = b.root AND c.node = b.node""")
 def q_in_ball_successors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Successors of each ball node inside the same ball."""
-    simple, _, ball = _ball(spark, sf_dir)
-    return trv.in_ball_successors(ball, simple)
+    return _on_balls(spark, sf_dir, lambda simple, nodes, ball: trv.in_ball_successors(ball, simple))
 
 
 @register("sp_roles", f"""WITH RECURSIVE {_GRAPH_SQL}, {_BALL_SQL},
@@ -506,8 +506,7 @@ SELECT b.root, b.node, b.layer,
 FROM ball b JOIN d dr ON dr.node = b.root JOIN d dn ON dn.node = b.node""")
 def q_sp_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4 + G8: shortest-path role ids (log out-degree of root, layer, of node)."""
-    simple, roots, ball = _ball(spark, sf_dir)
-    return trv.sp_roles(ball, gr.out_degrees(roots, simple))
+    return _on_balls(spark, sf_dir, lambda simple, nodes, ball: trv.sp_roles(ball, gr.out_degrees(nodes, simple)))
 
 
 def _wl_sql() -> str:
@@ -529,8 +528,7 @@ FROM xv v JOIN xv rx ON rx.root = v.root AND rx.node = v.root"""
 @register("wl_roles", _wl_sql())
 def q_wl_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5: Weisfeiler-Lehman style role ids from in-ball predecessor counts per layer."""
-    simple, _, ball = _ball(spark, sf_dir)
-    return trv.wl_roles(ball, simple, K_HOPS)
+    return _on_balls(spark, sf_dir, lambda simple, nodes, ball: trv.wl_roles(ball, simple, K_HOPS))
 
 
 # ---------------------------------------------------------------- R1-R8 transitions and walks
@@ -768,12 +766,9 @@ FROM wlt JOIN attr ar ON ar.node = wlt.root JOIN attr an ON an.node = wlt.node""
 @register("na_roles", _na_sql())
 def q_na_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2 + T6 + P5: attribute role ids, attributes = the selected catalogue features."""
-    edges = fx.tx_edges(spark, sf_dir)
-    simple = gr.simple_edges(edges)
-    roots = gr.graph_nodes(simple)
-    attrs = feat.select_catalogue(feat.node_features(edges, fx.tx_nodes(spark, sf_dir)), selected_only=True)
-    ball = trv.k_hop_ball(simple, roots, K_HOPS)
-    return trv.na_roles(ball, simple, attrs, K_HOPS)
+    attrs = cut_lineage(feat.select_catalogue(feat.node_features(fx.tx_edges(spark, sf_dir), fx.tx_nodes(spark, sf_dir)),
+                                              selected_only=True))
+    return _on_balls(spark, sf_dir, lambda simple, nodes, ball: trv.na_roles(ball, simple, attrs, K_HOPS))
 
 
 @register("structural_embedding_wl")
@@ -785,6 +780,30 @@ def q_structural_embedding_wl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@register("structural_embedding_na")
+def q_structural_embedding_na(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L4 + T6 + T8: structural embedding of attribute-aware roles, attributes =
+    the selected catalogue features."""
+    edges = fx.tx_edges(spark, sf_dir)
+    attrs = feat.select_catalogue(feat.node_features(edges, fx.tx_nodes(spark, sf_dir)), selected_only=True)
+    out, _, _ = pl.structural_embedding(gr.weighted_edge_list(edges), "na", attrs)
+    return out
+
+
+@register("structural_embedding_n2v")
+def q_structural_embedding_n2v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L4 + T8: the structural pipeline's confined walks with node ids as tokens."""
+    out, _, _ = pl.structural_embedding(gr.weighted_edge_list(fx.tx_edges(spark, sf_dir)), "n2v")
+    return out
+
+
+@register("structural_classification")
+def q_structural_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L6 on structural vectors: the anchors' shortest-path embeddings -> RF and L1-LR."""
+    out, _, _ = pl.structural_embedding(gr.weighted_edge_list(fx.tx_edges(spark, sf_dir)), "sp")
+    return pl.embedding_classification(cut_lineage(out), fx.tx_nodes(spark, sf_dir), "0;sp", "sp", 128)
+
+
 @register("feature_classification")
 def q_feature_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L5 + M1 + M4-M8 + M10-M12: anchors' 67 features, min-max fitted on train,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,12 +46,19 @@ def write_word2vec_text(emb: DataFrame, path: str, dimensions: int) -> None:
     header.unionByName(body).write.mode("overwrite").text(path)
 
 
-def append_stats(rows: DataFrame, path: str) -> None:
-    """Append metric rows to the stats table (created on first append)."""
-    rows.write.mode("append").parquet(path)
+def _write_run(rows: DataFrame, path: str) -> None:
+    """Replaces the rows of the runs in ``rows`` and leaves those of others: a
+    run that is done again, or retried after a failure, doesn't double them."""
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path))
+
+
+def append_stats(rows: DataFrame, path: str, run: str | None = None) -> None:
+    """Adds the metric rows of ``run`` to the stats table (created on first
+    use), in place of those that the run wrote before.  Without a name the run
+    is a new one."""
+    _write_run(rows.withColumn("run", F.lit(run or uuid.uuid4().hex)), path)
 
 
 def append_run_log(spark, path: str, run: str, seconds: float) -> None:
     """One ``(run, run_seconds)`` row per embedding run."""
-    spark.createDataFrame([(run, float(seconds))], "run string, run_seconds double") \
-        .write.mode("append").parquet(path)
+    _write_run(spark.createDataFrame([(run, float(seconds))], "run string, run_seconds double"), path)

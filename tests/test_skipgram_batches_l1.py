@@ -183,3 +183,42 @@ def test_l1_models_equal_a_numpy_solver(spark):
         z = np.dot(x["features"], w[:-1]) + w[-1]
         assert abs(x["probability"] - 1 / (1 + np.exp(-z))) < 1e-4 and x["prediction"] == int(x["probability"] > 0.5)
     assert l1.l1_logistic_models(df.limit(0)).collect() == []
+
+
+def test_splits_of_all_repetitions_equal_single_ones(spark):
+    from ledgernet.operators import sampling as smp
+
+    df = spark.range(137).selectExpr("cast(id as string) node", "cast(id % 3 = 0 as int) y")
+    reps = df.crossJoin(spark.range(4).withColumnRenamed("id", "rep"))
+    got = smp.split_repetitions(reps, "rep", "y", "node", base_seed=42).collect()
+    for i in range(4):
+        one = smp.stratified_split(df, "y", "node", seed=42 + i).collect()
+        assert {x["node"] for x in got if x["rep"] == i and x["is_test"]} == {x["node"] for x in one if x["is_test"]}
+
+
+def test_repetitions_give_two_rows_each(spark):
+    r = random.Random(1)
+    rows = [(str(k), k % 49, *[r.gauss(k % 2, 1) for _ in range(3)]) for k in range(120)]
+    published = spark.createDataFrame(rows, "address string, timestamp long, f_0 double, f_1 double, f_2 double")
+    classes = spark.createDataFrame([(str(k), "1" if k % 2 else "2") for k in range(120)], "txId string, label string")
+    got = pl.published_baseline(published, classes, repetitions=2).collect()
+    assert sorted((x["index"], x["classifier"]) for x in got) == [(str(i), c) for i in range(2) for c in ("LR", "RF")] or \
+        sorted((int(x["index"]), x["classifier"]) for x in got) == [(i, c) for i in range(2) for c in ("LR", "RF")]
+    assert all(0.5 < x["train_auc"] <= 1 and x["test_acc"] is not None for x in got)
+
+
+def test_a_run_that_is_done_again_replaces_its_rows(spark, tmp_path):
+    from ledgernet.sources import sinks as sk
+
+    path = f"{tmp_path}/stats"
+    row = lambda v: spark.createDataFrame([(v,)], "auc double")
+    sk.append_stats(row(0.1), path, "a")
+    sk.append_stats(row(0.2), path, "b")
+    sk.append_stats(row(0.3), path, "a")
+    failing = row(0.4).withColumn("auc", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        sk.append_stats(failing, path, "b")
+    assert sorted((x["run"], x["auc"]) for x in spark.read.parquet(path).collect()) == [("a", 0.3), ("b", 0.2)]
+    for _ in range(2):
+        sk.append_run_log(spark, f"{tmp_path}/runs", "wl", 2.0)
+    assert spark.read.parquet(f"{tmp_path}/runs").count() == 1
