@@ -10,12 +10,15 @@ similarity of 0.8 or more.
    a set follows the paths of the tokens that its node samples (each with
    probability 1 / (similarity * TOKENS), seeded by the path, so that similar
    sets choose alike).  A bucket of at most ``SMALL`` sets is compared by brute
-   force on the sketches; a larger one is
-   split on, up to ``DEPTH`` tokens; what is still large then (a group of
-   near copies, which no token splits) goes on as one candidate group.
-3. Sets that look similar enough form candidate groups; all pairs inside a
-   group are verified exactly on the shingle sets, in blocks (``pair_blocks``)
-   that return counts and local components, not pairs.
+   force on the sketches; a larger one is split on, up to ``DEPTH`` tokens.  What
+   is still large then (near copies, which no token splits) is a large group, as
+   are large buckets that share sets.
+3. Pairs of small buckets whose sketches and sizes allow the similarity are
+   verified as pairs, each once and exactly on the shingle sets.  Their
+   components only say which sets travel together, and blocks which pairs of a
+   large component; no pair is formed by closure.  Pairs inside a large group
+   are all verified, in blocks (``pair_blocks``) that return counts and local
+   components, not a row per pair.
 
 A pair at the threshold is lost if no run brings it into one bucket (``miss``;
 at 0.8, ``DEPTH`` tokens deep, 1.6e-7; one token deep 5e-11) or if its sketches
@@ -128,9 +131,17 @@ def _embed(n: int):
     return run
 
 
-def _signatures(column: pa.Array) -> np.ndarray:
+def _signatures(column: pa.Array, kind=np.uint32) -> np.ndarray:
     buf, offsets = text_buffer(column)
-    return buf[int(offsets[0]):int(offsets[-1])].view(np.uint8).copy().view(np.uint32).reshape(-1, COORDS)
+    return buf[int(offsets[0]):int(offsets[-1])].view(np.uint8).copy().view(kind).reshape(-1, COORDS)
+
+
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, n, sketch``: the low half of each min-hash, enough to compare."""
+    for b in batches:
+        low = _signatures(b.column("sig")).astype(np.uint16)
+        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), pa.array([s.tobytes() for s in low], pa.binary())],
+                                         names=["node", "n", "sketch"])
 
 
 def _follow(similarity: float, runs: int, root: bool):
@@ -169,58 +180,77 @@ def _follow(similarity: float, runs: int, root: bool):
     return run
 
 
-def _compare_buckets(least: int):
-    """Star links of the sets in each small bucket whose sketches agree."""
+def _compare_buckets(least: int, similarity: float):
+    """Pairs ``a < b`` of each small bucket that sketches and sizes allow and
+    that no large group holds."""
+    limit = Fraction(str(similarity))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in group_batches(batches, "path"):
             t = t.combine_chunks()
-            path = t.column("path").to_numpy()
-            node = t.column("node").to_numpy()
-            sig = _signatures(t.column("sig").combine_chunks() if t.column("sig").num_chunks != 1
-                              else t.column("sig").chunk(0))
+            path, node, n, large = (t.column(c).to_numpy() for c in ("path", "node", "n", "large"))
+            sig = _signatures(t.column("sketch").combine_chunks() if t.column("sketch").num_chunks != 1
+                              else t.column("sketch").chunk(0), np.uint16)
             cut = np.flatnonzero(np.insert(path[1:] != path[:-1], 0, True))
             size = np.diff(np.append(cut, len(path)))
             two = cut[size == 2]
-            near = (sig[two] == sig[two + 1]).sum(axis=1) >= least
-            a, b = [node[two[near]]], [node[two[near] + 1]]
-            for c, n in zip(cut[size > 2], size[size > 2]):
-                s = sig[c:c + n]
-                agree = np.stack([(s == s[k]).sum(axis=1) for k in range(n)]) >= least
-                root = local_roots(agree, node[c:c + n])
-                a.append(node[c:c + n])
-                b.append(root)
-            a, b = np.concatenate(a), np.concatenate(b)
-            keep = a != b
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+            left, right = [two], [two + 1]
+            for c, m in zip(cut[size > 2], size[size > 2]):
+                x, y = np.triu_indices(m, 1)
+                left.append(c + x)
+                right.append(c + y)
+                if sum(map(len, left)) > 1 << 16:
+                    yield _allowed(np.concatenate(left), np.concatenate(right), node, n, large, sig, least, limit)
+                    left, right = [], []
+            if left:
+                yield _allowed(np.concatenate(left), np.concatenate(right), node, n, large, sig, least, limit)
     return run
 
 
-def candidate_links(sets: DataFrame, similarity: float = SIMILARITY, runs: int = RUNS, depth: int = DEPTH,
-                    small: int = SMALL) -> DataFrame:
-    """``sets(node, sig)`` → links ``a, b`` that join all likely similar sets."""
+def _allowed(x, y, node, n, large, sig, least: int, limit: Fraction) -> pa.RecordBatch:
+    keep = np.minimum(n[x], n[y]) * limit.denominator >= np.maximum(n[x], n[y]) * limit.numerator
+    keep &= (large[x] != large[y]) | (large[x] < 0)
+    x, y = x[keep], y[keep]
+    agree = np.concatenate([(sig[x[k:k + 4096]] == sig[y[k:k + 4096]]).sum(axis=1) for k in range(0, len(x), 4096)]
+                           or [np.zeros(0, np.int64)]) >= least
+    a, b = node[x[agree]], node[y[agree]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def candidates(sets: DataFrame, similarity: float = SIMILARITY, runs: int = RUNS, depth: int = DEPTH,
+               small: int = SMALL) -> tuple[DataFrame, DataFrame | None]:
+    """``sets(node, n, sig)`` → pairs ``a < b`` to verify, and the large groups
+    ``node, component`` of which all pairs are to be verified (None: there are none)."""
     least = least_agreement(similarity)
     paths = sets.mapInArrow(_follow(similarity, runs, root=True), "path long, node long")
-    links = None
+    buckets, stars = None, None
     for level in range(1, depth + 1):
         # one set may reach a bucket once only
         paths = scratch_table(paths)
         sizes = scratch_table(paths.groupBy("path").agg(
             F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where("size > 1"))
-        leaves = (paths.join(sizes.where(F.col("size") <= small).select("path"), "path")
-                  .join(sets, "node").select("path", "node", "sig")
-                  .repartition("path").sortWithinPartitions("path")
-                  .mapInArrow(_compare_buckets(least), "a long, b long").distinct())
-        links = leaves if links is None else links.unionAll(leaves)
+        leaves = paths.join(sizes.where(F.col("size") <= small).select("path"), "path").select("path", "node")
+        buckets = leaves if buckets is None else buckets.unionAll(leaves)
         large = sizes.where(F.col("size") > small)
         if large.isEmpty():
             break
         rest = paths.join(large.select("path", "least"), "path")
         if level == depth:
-            links = links.unionAll(rest.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+            stars = rest.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
         else:
-            paths = rest.join(sets, "node").select("path", "node", "sig").mapInArrow(
+            paths = rest.join(sets.select("node", "sig"), "node").select("path", "node", "sig").mapInArrow(
                 _follow(similarity, runs, root=False), "path long, node long").distinct()
-    return links
+    groups = None if stars is None else components(stars)
+    short = sets.select("node", "n", "sig").mapInArrow(_short, "node long, n long, sketch binary")
+    if groups is None:
+        marked = short.withColumn("large", F.lit(-1).cast("long"))
+    else:
+        marked = short.join(groups.withColumnRenamed("component", "large"), "node", "left").withColumn(
+            "large", F.coalesce("large", F.lit(-1).cast("long")))
+    pairs = (buckets.join(marked, "node").select("path", "node", "n", "large", "sketch")
+             .repartition("path").sortWithinPartitions("path")
+             .mapInArrow(_compare_buckets(least, similarity), "a long, b long").distinct())
+    return scratch_table(pairs), groups
 
 
 def _shingles(n: int, wanted):
@@ -304,6 +334,40 @@ def _verify(similarity: float):
     return run
 
 
+def _verify_pairs(similarity: float):
+    """Of each key's sets (side 0) and pairs (side 1: ``node``, ``other``) the
+    pairs that are similar, from both ends."""
+    limit = Fraction(str(similarity))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in group_batches(batches, "pair", least_rows=4096, least_bytes=8 << 20):
+            t = t.combine_chunks()
+            pair, side = t.column("pair").to_numpy(), t.column("side").to_numpy()
+            node, other, copies = (t.column(c).to_numpy() for c in ("node", "other", "copies"))
+            body = t.column("body")
+            buf, offsets = text_buffer(body.combine_chunks() if body.num_chunks != 1 else body.chunk(0))
+            cut = np.append(np.flatnonzero(np.insert(pair[1:] != pair[:-1], 0, True)), len(pair))
+            out: list[list[int]] = [[], [], []]
+            for a, z in zip(cut[:-1], cut[1:]):
+                held = a + int((side[a:z] == 0).sum())
+                at = {int(node[k]): k for k in range(a, held)}
+                sets = {k: buf[offsets[k]:offsets[k + 1]].copy().view(U) for k in range(a, held)}
+                for k in range(held, z):
+                    x, y = at.get(int(node[k])), at.get(int(other[k]))
+                    if x is None or y is None:
+                        continue
+                    few, many = sorted((sets[x], sets[y]), key=len)
+                    found = np.minimum(np.searchsorted(many, few), len(many) - 1)
+                    inter = int((many[found] == few).sum())
+                    if inter * limit.denominator >= (len(few) + len(many) - inter) * limit.numerator:
+                        out[0] += [int(node[x]), int(node[y])]
+                        out[1] += [int(copies[y]), int(copies[x])]
+                        out[2] += [int(min(node[x], node[y]))] * 2
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["node", "n", "root"])
+    return run
+
+
 def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, runs: int = RUNS,
                depth: int = DEPTH, small: int = SMALL, block_sets: int = BLOCK_SETS,
                block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -325,24 +389,47 @@ def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = S
                                          F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
         .select(F.col("x.doc_id").alias("node"), "x.dk", "s1", "s2", "n", "copies", "sig"))
 
-    links = candidate_links(classes.select("node", "sig"), similarity, runs, depth, small)
-    groups = components(links).withColumnRenamed("component", "grp")
-    members = scratch_table(groups.join(classes.select("node", "dk", "n", "copies"), "node"))
-    blocks = members.groupBy("grp").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("n") / block_shingles),
-                   F.lit(1)).cast("int").alias("n_blocks"))
-    placed = members.join(blocks, "grp").select("node", "dk", "grp", "copies", "n_blocks")
-    # only the sets of members move, not all texts
-    wanted = docs.sparkSession.sparkContext.broadcast(sketch.members(members, "dk", members.count()))
-    bodies = placed.join(
-        rows.where(ids & F.col("text").isNotNull()).select(F.col("doc_id").alias("node"), "dk", "text")
-        .mapInArrow(_shingles(shingle, wanted), "node long, dk long, body binary"), ["node", "dk"])
-    if one is not sets:
-        bodies = bodies.dropDuplicates(["node"])
-    verified = scratch_table(
-        block_pairs(bodies, "grp", "node", "n_blocks").select("pair", "side", "node", "copies", "body")
-        .repartition("pair").sortWithinPartitions("pair")
-        .mapInArrow(_verify(similarity), "node long, n long, root long"))
+    pairs, groups = candidates(classes.select("node", "n", "sig"), similarity, runs, depth, small)
+    texts = rows.where(ids & F.col("text").isNotNull()).select(F.col("doc_id").alias("node"), "dk", "text")
+    own = classes.select("node", "dk", "n", "copies")
+
+    def with_bodies(placed: DataFrame) -> DataFrame:
+        """Rows ``node, dk, ..`` with the set; only members' sets move, not texts."""
+        placed = scratch_table(placed)
+        wanted = docs.sparkSession.sparkContext.broadcast(sketch.members(placed, "dk", placed.count()))
+        found = texts.mapInArrow(_shingles(shingle, wanted), "node long, dk long, body binary")
+        return placed.join(found if one is sets else found.dropDuplicates(["node", "dk"]), ["node", "dk"])
+
+    def in_blocks(members: DataFrame) -> DataFrame:
+        """Members ``node, grp, n`` with the blocks of their group."""
+        return members.join(members.groupBy("grp").agg(
+            F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("n") / block_shingles),
+                       F.lit(1)).cast("int").alias("n_blocks")), "grp")
+
+    # pairs of small buckets: a component's sets travel together, cut by blocks
+    members = in_blocks(scratch_table(components(pairs).withColumnRenamed("component", "grp").join(own, "node")))
+    block = F.pmod(F.xxhash64(F.lit(17), "node"), F.col("n_blocks")).alias("block")
+    ends = members.select("node", "grp", block)
+    keyed = scratch_table(
+        pairs.join(ends.withColumnsRenamed({"node": "a", "block": "block_a"}), "a")
+        .join(ends.drop("grp").withColumnsRenamed({"node": "b", "block": "block_b"}), "b")
+        .select("a", "b", F.xxhash64(F.lit(31), "grp", F.least("block_a", "block_b"),
+                                     F.greatest("block_a", "block_b")).alias("pair")))
+    needed = keyed.select("pair", F.explode(F.array("a", "b")).alias("node")).distinct().join(own.drop("n"), "node")
+    none = F.lit(None)
+    listed = (with_bodies(needed).select("pair", F.lit(0).alias("side"), "node", F.lit(0).cast("long").alias("other"),
+                                         "copies", "body")
+              .unionByName(keyed.select("pair", F.lit(1).alias("side"), F.col("a").alias("node"), F.col("b").alias("other"),
+                                        F.lit(0).cast("long").alias("copies"), none.cast("binary").alias("body")))
+              .repartition("pair").sortWithinPartitions("pair", "side")
+              .mapInArrow(_verify_pairs(similarity), "node long, n long, root long"))
+    if groups is not None:  # all pairs of large groups
+        crowd = in_blocks(scratch_table(groups.withColumnRenamed("component", "grp").join(own, "node")))
+        listed = listed.unionByName(
+            block_pairs(with_bodies(crowd), "grp", "node", "n_blocks")
+            .select("pair", "side", "node", "copies", "body").repartition("pair").sortWithinPartitions("pair")
+            .mapInArrow(_verify(similarity), "node long, n long, root long"))
+    verified = scratch_table(listed)
     linked = verified.groupBy("node").agg(F.sum("n").alias("n"))
     joined = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
     label = (classes.select("node", "s1", "s2", "n", "copies")
