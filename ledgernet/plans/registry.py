@@ -682,6 +682,58 @@ def q_second_order_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _walk_text(wk.simulate_walks(w, roots, NUM_WALKS, WALK_LEN, seed=SEED, p=P2, q=Q2))
 
 
+#: Most 2-paths through a node that has rows in the second-order table.
+MAX_PATHS = 64
+
+_PATHS_SQL = f"""deg_in AS (SELECT target AS node, count(*) AS n FROM wel GROUP BY target),
+small AS (SELECT pk.source AS node FROM pk JOIN deg_in ON deg_in.node = pk.source WHERE pk.d * deg_in.n <= {MAX_PATHS}),
+paths AS (SELECT a.source AS prev, a.target AS cur, c.next,
+    CASE WHEN coalesce(pk.tot, 0) = 0 THEN 1.0
+         ELSE c.w * CASE WHEN c.next = a.source THEN {1 / P2!r}
+                         WHEN EXISTS (SELECT 1 FROM wel x WHERE x.source = a.source AND x.target = c.next) THEN 1.0
+                         ELSE {1 / Q2!r} END END AS w
+  FROM wel a JOIN small ON small.node = a.target JOIN pk ON pk.source = a.target JOIN c ON c.source = a.target)"""
+
+
+@register("second_order_transitions", rounded_sql(f"""WITH {_WEL_SQL}, {_PATHS_SQL}
+SELECT prev, cur, next, w / sum(w) OVER (PARTITION BY prev, cur) AS probability FROM paths""", ["probability"], digits=12))
+def q_second_order_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2: normalised second-step probabilities (p = 0.5, q = 2) of every edge into
+    a node of at most 64 two-paths; the walks below reject at the others."""
+    w = gr.weighted_edge_list(fx.tx_edges(spark, sf_dir))
+    return rounded(wk.second_order_transitions(w, P2, Q2, max_paths=MAX_PATHS)
+                   .select("prev", "cur", "next", "probability"), 12)
+
+
+def _hybrid_sql() -> str:
+    """The rejection walks' SQL, with one draw from the table at small nodes."""
+    ctes = _second_order_sql()
+    for i in range(2, WALK_LEN):
+        u = uniform_sql(SEED, "w.root", "w.walk_no", f"{i}")
+        ctes = ctes.replace(f"FROM w{i - 1} w JOIN t ON", f"FROM (SELECT * FROM w{i - 1} WHERE cur NOT IN (SELECT node FROM small)) w JOIN t ON")
+        ctes = ctes.replace(f"FROM att{i} WHERE acc\n", f"""FROM att{i} WHERE acc
+  UNION ALL SELECT w.root, w.walk_no, w.cur, pt.next, list_append(w.walk, pt.next) FROM w{i - 1} w
+  JOIN pt ON pt.prev = w.prev AND pt.cur = w.cur AND pt.lo <= {u} AND {u} < pt.hi
+""")
+    table = f"""{_PATHS_SQL},
+pt AS (SELECT prev, cur, next,
+    coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(w) OVER (PARTITION BY prev, cur) AS lo,
+    CASE WHEN lead(next) OVER o IS NULL THEN 1.0
+         ELSE sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(w) OVER (PARTITION BY prev, cur) END AS hi
+  FROM paths WINDOW o AS (PARTITION BY prev, cur ORDER BY next)),
+zt AS ("""
+    return ctes.replace("zt AS (", table, 1)
+
+
+@register("second_order_walks_hybrid", _hybrid_sql())
+def q_second_order_walks_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2 + R5: the second-order walks by one draw a step from the probability
+    table where that is small, by rejection at the other nodes."""
+    w = gr.weighted_edge_list(fx.tx_edges(spark, sf_dir))
+    return _walk_text(wk.simulate_walks(w, gr.graph_nodes(w), NUM_WALKS, WALK_LEN, seed=SEED, p=P2, q=Q2,
+                                        max_paths=MAX_PATHS))
+
+
 
 # ---------------------------------------------------------------- pipelines (rows-only checks)
 

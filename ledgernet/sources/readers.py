@@ -3,7 +3,7 @@ are found by name, others are ignored, and a missing one is an error."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgernet.catalog import CLASSES, EDGES, NODES, SIMPLE_EDGES, WEIGHTED_EDGES, published_feature_names
@@ -95,6 +95,19 @@ def read_word2vec_text(spark: SparkSession, path: str) -> DataFrame:
                        *[F.col("t")[i + 1].cast("double").alias(f"emb_{i}") for i in range(d)])
 
 
-def read_walks(spark: SparkSession, path: str) -> DataFrame:
-    """Walk shards written by :func:`sinks.write_walks` (one walk per line)."""
-    return spark.read.text(path).select(F.split(F.trim("value"), " ").alias("tokens"))
+def read_walks(spark: SparkSession, path: str, interleaved: bool = False) -> DataFrame:
+    """Walk shards written by :func:`sinks.write_walks` (one walk per line).
+
+    ``interleaved`` adds ``position`` (the line's number in its file, from 0) and
+    ``shard``: ascending, they are the order in which training takes the first
+    line of each file, then the second ones, and so on.  Only the lines of one
+    file are ordered together, which the number of shards bounds."""
+    tokens = F.split(F.trim("value"), " ").alias("tokens")
+    if not interleaved:
+        return spark.read.text(path).select(tokens)
+    # a file's splits follow each other by their start, ids ascend inside a split
+    lines = spark.read.text(path).select(tokens, F.col("_metadata.file_name").alias("shard"),
+                                         F.col("_metadata.file_block_start").alias("__start"),
+                                         F.monotonically_increasing_id().alias("__id"))
+    place = F.row_number().over(Window.partitionBy("shard").orderBy("__start", "__id")) - 1
+    return lines.select(place.cast("long").alias("position"), "shard", "tokens")

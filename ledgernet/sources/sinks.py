@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgernet.operators.sampling import random_order
+from ledgernet.functions.draws import uniform
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet") -> None:
@@ -26,13 +26,16 @@ def write_feature_sets(path: str, engineered: DataFrame, published: DataFrame, m
     write_table(merged, f"{path}/merged")
 
 
-def write_walks(walks: DataFrame, path: str, shuffle_seed: int | None = 42) -> None:
-    """One walk per line, tokens space-separated; optionally in a seeded
-    random order (the reference shuffles walks before writing)."""
+def write_walks(walks: DataFrame, path: str, shuffle_seed: int | None = 42, shards: int | None = None) -> None:
+    """One walk per line, tokens space-separated.  With a seed, walks are
+    dealt to ``shards`` files (default: the shuffle partitions) by a hash of their
+    key and put in a keyed random order inside each, so no walk order is sorted as
+    a whole; :func:`readers.read_walks` reads the files in turn, a line of each."""
     lines = walks.select(F.concat_ws(" ", "tokens").alias("value"), "root", "walk_no")
     if shuffle_seed is not None:
-        lines = random_order(lines.withColumn("__k", F.concat_ws("|", "root", "walk_no")), "__k",
-                             shuffle_seed).drop("__k")
+        count = shards or int(walks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        lines = (lines.withColumn("__k", F.concat_ws("|", F.lit(shuffle_seed), "root", "walk_no"))
+                 .repartition(count, "__k").sortWithinPartitions(uniform(shuffle_seed, "__k"), "__k"))
     lines.select("value").write.mode("overwrite").text(path)
 
 

@@ -1,3 +1,4 @@
+import glob
 import os
 import tempfile
 
@@ -114,3 +115,21 @@ def test_published_file_is_named_by_position(spark):
     assert len(got.columns) == 167 and got.columns[2] == "tx_feat_2" and got.columns[-1] == "agg_feat_72"
     row = got.where("address = '1'").first()
     assert (row["timestamp"], row["tx_feat_2"], row["tx_feat_94"], row["agg_feat_72"]) == (2, 0.0, 92.0, 164.0)
+
+
+def test_walk_shards_are_read_in_turn(spark):
+    with tempfile.TemporaryDirectory() as d:
+        walks = spark.range(400).select(F.col("id").alias("root"), F.lit(0).alias("walk_no"),
+                                        F.array(F.col("id").cast("string"), F.lit("x")).alias("tokens"))
+        sk.write_walks(walks, f"{d}/walks", shuffle_seed=3, shards=5)
+        rows = rd.read_walks(spark, f"{d}/walks", interleaved=True).collect()
+        assert sorted(int(r["tokens"][0]) for r in rows) == list(range(400))
+        files = {os.path.basename(f): [line.split() for line in open(f)] for f in glob.glob(f"{d}/walks/part-*")}
+        assert len(files) == 5
+        assert all(files[r["shard"]][r["position"]] == r["tokens"] for r in rows)
+        order = [int(r["tokens"][0]) for r in sorted(rows, key=lambda r: (r["position"], r["shard"]))]
+        centred = [(i - 199.5) * (v - 199.5) for i, v in enumerate(order)]
+        assert abs(sum(centred) / sum((i - 199.5) ** 2 for i in range(400))) < 0.15
+        sk.write_walks(walks, f"{d}/again", shuffle_seed=3, shards=5)
+        again = rd.read_walks(spark, f"{d}/again", interleaved=True).collect()
+        assert sorted((r["position"], r["tokens"]) for r in again) == sorted((r["position"], r["tokens"]) for r in rows)
