@@ -49,14 +49,14 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
     found = substring_dedup.substring_dedup(docs).where("n_removed > 0").select(
         F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("dk").alias("__dk"),
         F.col("kept_text").alias("__kept")).dropDuplicates(["__id", "__dk"])
-    out = (docs.withColumn("__id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("__dk", text_key())
+    # the whole row in one column: names of its own can't clash with ours
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    out = (docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), text_key().alias("__dk"), row)
            .join(found, ["__id", "__dk"], "left").where("__kept IS NULL OR __kept <> ''"))
-    text = F.coalesce("__kept", "text")
-    changed = out.withColumn("text", text)
+    new = {"text": F.coalesce("__kept", "__row.text")}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("__kept").isNotNull(), F.length("text").cast("long"))
-                                     .otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("__kept").isNotNull(), F.length("__kept").cast("long")).otherwise(F.col("__row.n_chars"))
+    return out.select(*[new.get(c, F.col("__row").getField(c)).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
