@@ -152,6 +152,13 @@ def _measured(docs: DataFrame) -> DataFrame:
             .withColumn("__topic", topic()).withColumn("__tokens", n_tokens()))
 
 
+def _measured_rows(docs: DataFrame) -> DataFrame:
+    """Measured ``doc_id`` and ``__row``, the whole row: none of its names can
+    clash with one of ours."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    return _measured(docs.select("doc_id", "source", "lang", "text", row)).drop("source", "lang", "text")
+
+
 def _with_probability(measured: DataFrame, cells: DataFrame) -> DataFrame:
     cells = scratch_table(cells.select(*[F.col(c).alias(f"__{c}") for c in MARGINALS], F.col("probability").alias("__p")))
     cells = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
@@ -176,10 +183,10 @@ def mix(docs: DataFrame, temper: float = TEMPER, rounds: int = ROUNDS, seed: str
 def sample(docs: DataFrame, temper: float = TEMPER, rounds: int = ROUNDS, seed: str = SEED,
            targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """The kept rows of ``docs`` with all their columns."""
-    measured = _measured(docs)
+    measured = _measured_rows(docs)
     cells = scratch_table(_names(measured).groupBy(*MARGINALS).agg(F.sum("tokens").alias("tokens")))
     kept = _with_probability(measured, probabilities(cells, temper, rounds, targets)).where(draw(seed) < F.col("__p"))
-    return kept.select(*docs.columns)
+    return kept.select("__row.*")
 
 
 def resample(docs: DataFrame, temper: float = TEMPER, seed: str = SEED,
@@ -187,9 +194,9 @@ def resample(docs: DataFrame, temper: float = TEMPER, seed: str = SEED,
     """The rows of ``docs`` with all their columns, each as often as its cell's
     weight says: the whole part of it, and once more with the rest of it as
     probability."""
-    measured = _measured(docs)
+    measured = _measured_rows(docs)
     cells = scratch_table(_names(measured).groupBy(*MARGINALS).agg(F.sum("tokens").alias("tokens")))
     weighted = weights(cells, temper, targets, tolerance).withColumnRenamed("weight", "probability")
     copies = F.floor("__p") + (draw(seed) < F.col("__p") - F.floor("__p")).cast("long")
     return (_with_probability(measured, weighted).withColumn("__n", copies.cast("int")).where("__n > 0")
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns))
+            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select("__row.*"))

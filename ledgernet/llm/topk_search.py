@@ -52,13 +52,25 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return buf[int(offsets[0]):int(offsets[-1])].copy().view(np.int64).reshape(-1, dim)
 
 
+#: Vectors of a larger norm, after scaling, are refused: the largest whole number
+#: of 64 bits is about 3.037e9 squared.
+LARGEST_NORM = 3e9
+
+
 def _integers(scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.column("embedding")
             flat = rows.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            ints = np.clip(np.floor(flat * scale), -(2.0 ** 62), 2.0 ** 62).astype(np.int64)
+            whole = np.floor(flat * scale)
             offsets = rows.offsets.to_numpy()
+            # by Cauchy-Schwarz no product of two vectors leaves the 64 bits then,
+            # and sums that wrap on the way are right in the end
+            squares = np.concatenate([[0.0], np.cumsum(whole ** 2)])
+            if len(whole) and (np.abs(whole).max() >= LARGEST_NORM
+                               or (squares[offsets[1:]] - squares[offsets[:-1]]).max(initial=0.0) >= LARGEST_NORM ** 2):
+                raise ValueError("a vector's scaled norm is above 3e9: its scores may not fit 64 bits")
+            ints = whole.astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [b.column("vec_id"), pa.array(np.diff(offsets).astype(np.int32)),
                  pa.array([ints[a:z].tobytes() for a, z in zip(offsets[:-1], offsets[1:])], pa.binary())],

@@ -309,3 +309,32 @@ def test_pipeline_stages(spark):
     assert four.columns == docs.columns and 0 < four.count() <= 44
     assert check_packing(cp.pack_sequences(spark, four, "").collect(), 2048) >= 1
     assert [n for n, _ in cp.STAGES] == ["language_id", "near_duplicates", "substring_dedup", "mixing", "packing"]
+
+
+def test_mixing_and_passages_with_clashing_columns(spark):
+    import corpus_pipeline as cp
+
+    passage = " ".join(f"shared{k}" for k in range(60))
+    rows = [(k, f"lead {k} {passage} " + " ".join(f"v{k}y{j}" for j in range(40)), "en", f"s{k % 2}", 1) for k in range(6)]
+    rows += [(None, None, None, None, None), (9, "", "en", "s0", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["__kept", "__p", "__id", "__dk", "__n", "__copy", "__topic", "__tokens", "__source", "__lang", "__row", "a.b"]
+    for n in names:
+        docs = docs.withColumn(n, F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")))
+    plain = ["doc_id", "text", "lang", "source", "n_chars"]
+    for stage in (lambda d: cp.remove_repeated_passages(spark, d, ""), lambda d: cp.mix_sources(spark, d, ""), mixing.sample):
+        got, want = stage(docs), stage(docs.select(*plain))
+        assert got.columns == docs.columns and stage(docs.limit(0)).count() == 0
+        kept = got.collect()
+        assert all(r[n] == (None if r["doc_id"] is None else f"{n}:{r['doc_id']}") for r in kept for n in names)
+        assert sorted(str(tuple(r[c] for c in plain)) for r in kept) == sorted(str(tuple(r)) for r in want.collect())
+
+
+def test_topk_refuses_vectors_whose_scores_leave_64_bits(spark):
+    fits = spark.createDataFrame([(0, [2e6, 0.0]), (1, [2e6, 1.0]), (2, [-2e6, 0.0])], "vec_id long, embedding array<double>")
+    got = topk.topk_search(fits, F.col("vec_id") == 0).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == \
+        [(1, 2048000000 ** 2), (2, -2048000000 ** 2)]
+    for big in ([1e10, 0.0], [2.5e6, 2.5e6], [1e300, 0.0]):
+        with pytest.raises(Exception, match="may not fit 64 bits"):
+            topk.topk_search(fits.union(spark.createDataFrame([(3, big)], fits.schema)), F.col("vec_id") == 0).collect()
