@@ -861,7 +861,7 @@ def q_feature_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L5 + M1 + M4-M8 + M10-M12: anchors' 67 features, min-max fitted on train,
     RF and L1-LR; two stats rows."""
     nodes = fx.tx_nodes(spark, sf_dir)
-    features = feat.node_features(fx.tx_edges(spark, sf_dir), nodes)
+    features = feat.node_features(fx.tx_edges(spark, sf_dir), nodes, roots=feat.anchors(nodes))
     stats, _ = pl.feature_classification(features, nodes, "0;fe")
     return stats
 
@@ -870,7 +870,7 @@ def q_feature_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_feature_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M12 + O1: RF impurity importance of the 67 features, ranked."""
     nodes = fx.tx_nodes(spark, sf_dir)
-    features = feat.node_features(fx.tx_edges(spark, sf_dir), nodes)
+    features = feat.node_features(fx.tx_edges(spark, sf_dir), nodes, roots=feat.anchors(nodes))
     _, ranking = pl.feature_classification(features, nodes, "0;fe")
     return ranking
 
@@ -973,7 +973,7 @@ def q_embedding_node_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_importance_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """100-tree forest importances with across-tree population std."""
     nodes = fx.tx_nodes(spark, sf_dir)
-    f = feat.keep_keys(feat.node_features(fx.tx_edges(spark, sf_dir), nodes), feat.anchors(nodes), "node")
+    f = feat.node_features(fx.tx_edges(spark, sf_dir), nodes, roots=feat.anchors(nodes))
     cols = feat.feature_columns(f)
     tr = cut_lineage(clf.assemble(f.select("node", F.col("isp").alias("y"), *cols), cols)
                      .select("node", "label", "features"))
