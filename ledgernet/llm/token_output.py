@@ -35,8 +35,6 @@ from ledgernet.llm.tokens import tokenizer
 from ledgernet.session import ensure_checkpoint_dir, scratch_table
 
 LENGTH, BATCH = 2048, 64
-#: Documents that are encoded together.
-TEXTS = 128
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -93,26 +91,21 @@ def _write(folder: str, path: str, end_id: int, length: int):
         out = index = sink = None
         at = n_docs = 0
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-        end = np.array([end_id], np.uint32)
         for b in batches:
-            for k in range(0, b.num_rows, TEXTS):
-                some = b.slice(k, TEXTS)
-                if out is None:
-                    out = SequenceWriter(f"{name}.arrow", length,
-                                         np.uint16 if max(encode.size, end_id + 1) <= 1 << 16 else np.uint32)
-                    fs, where = filesystem(f"{name}.docs.arrow")
-                    sink = fs.open_output_stream(where)
-                    index = pa.ipc.new_file(sink, schema)
-                starts, counts = [], []
-                for raw in encode.encode([t or "" for t in some.column("text").to_pylist()]):
-                    ids = np.concatenate([np.frombuffer(raw, "<u4"), end])
-                    out.add(ids)
-                    starts.append(at)
-                    counts.append(len(ids))
-                    at += len(ids)
+            if out is None and b.num_rows:
+                out = SequenceWriter(f"{name}.arrow", length,
+                                     np.uint16 if max(encode.size, end_id + 1) <= 1 << 16 else np.uint32)
+                fs, where = filesystem(f"{name}.docs.arrow")
+                sink = fs.open_output_stream(where)
+                index = pa.ipc.new_file(sink, schema)
+            for i, j, ids, counts in encode.encode_column(b.column("text")):
+                out.add(np.insert(ids, np.cumsum(counts), end_id))
+                counts = counts + 1
+                ends = at + np.cumsum(counts)
                 index.write_batch(pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=schema))
-                n_docs += some.num_rows
+                    [b.column("doc_id").slice(i, j - i), pa.array(ends - counts), pa.array(counts)], schema=schema))
+                at = int(ends[-1])
+                n_docs += j - i
         if out is not None:
             out.close()
             index.close()
