@@ -217,18 +217,34 @@ def _allowed(x, y, node, n, large, sig, least: int, limit: Fraction) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
+def only_members(rows: DataFrame, columns: list[str], of: DataFrame) -> DataFrame:
+    """``rows`` whose key ``columns`` may be among the table ``of``'s, before a
+    join that drops the others: those are not shuffled."""
+    h = F.xxhash64(*columns).alias("__h")
+    wanted = rows.sparkSession.sparkContext.broadcast(sketch.members(of.select(h), "__h", of.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may = wanted.value
+        for b in batches:
+            at = np.flatnonzero(may(b.column("__h").to_numpy().view(U)))
+            yield b.take(pa.array(at)).select(b.schema.names[:-1])
+    return rows.select("*", h).mapInArrow(run, rows.schema)
+
+
 def candidates(sets: DataFrame, similarity: float = SIMILARITY, runs: int = RUNS, depth: int = DEPTH,
                small: int = SMALL) -> tuple[DataFrame, DataFrame | None]:
     """``sets(node, n, sig)`` → pairs ``a < b`` to verify, and the large groups
     ``node, component`` of which all pairs are to be verified (None: there are none)."""
     least = least_agreement(similarity)
     paths = sets.mapInArrow(_follow(similarity, runs, root=True), "path long, node long")
+    sigs = sets.select("node", "sig")
     buckets, stars = None, None
     for level in range(1, depth + 1):
         # one set may reach a bucket once only
         paths = scratch_table(paths)
         sizes = scratch_table(paths.groupBy("path").agg(
             F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where("size > 1"))
+        paths = only_members(paths, ["path"], sizes)  # most paths have one set
         leaves = paths.join(sizes.where(F.col("size") <= small).select("path"), "path").select("path", "node")
         buckets = leaves if buckets is None else buckets.unionAll(leaves)
         large = sizes.where(F.col("size") > small)
@@ -238,10 +254,13 @@ def candidates(sets: DataFrame, similarity: float = SIMILARITY, runs: int = RUNS
         if level == depth:
             stars = rest.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
         else:
-            paths = rest.join(sets.select("node", "sig"), "node").select("path", "node", "sig").mapInArrow(
+            rest = scratch_table(rest.select("path", "node"))
+            paths = rest.join(only_members(sigs, ["node"], rest), "node").select("path", "node", "sig").mapInArrow(
                 _follow(similarity, runs, root=False), "path long, node long").distinct()
     groups = None if stars is None else components(stars)
-    short = sets.select("node", "n", "sig").mapInArrow(_short, "node long, n long, sketch binary")
+    buckets = scratch_table(buckets)
+    short = only_members(sets.select("node", "n", "sig"), ["node"], buckets).mapInArrow(
+        _short, "node long, n long, sketch binary")
     if groups is None:
         marked = short.withColumn("large", F.lit(-1).cast("long"))
     else:
@@ -253,17 +272,29 @@ def candidates(sets: DataFrame, similarity: float = SIMILARITY, runs: int = RUNS
     return scratch_table(pairs), groups
 
 
-def _shingles(n: int, wanted):
-    """Shingle sets of the texts whose ``dk`` may be wanted."""
+def _pack(n: int):
+    """Of each block of texts (sorted by ``key``) a row: ``node``, ``copies`` and
+    ``size`` of its sets, and the sets themselves, compressed: near copies, which share
+    most of what they hold, stand next to each other."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may = wanted.value
-        for b in batches:
-            b = b.take(pa.array(np.flatnonzero(may(b.column("dk").to_numpy().view(U)))))
-            for rows, sets in shingle_sets(b.column("text"), n):
-                at = pa.array(rows)
+        for t in group_batches(batches, "key", least_rows=1, least_bytes=1):
+            t = t.combine_chunks()
+            key = t.column("key").to_numpy()
+            cut = np.append(np.flatnonzero(np.insert(key[1:] != key[:-1], 0, True)), len(key))
+            for a, z in zip(cut[:-1], cut[1:]):
+                rows = t.slice(a, z - a)
+                at, sets = [], []
+                for some, found in shingle_sets(rows.column("text").combine_chunks(), n):
+                    at += some
+                    sets += found
+                order = np.argsort([s[0] for s in sets], kind="stable")  # near copies next to each other
+                at, sets = np.array(at)[order], [sets[k] for k in order]
+                size = np.array([len(s) for s in sets], np.int64)
+                held = [rows.column(c).to_numpy()[at].tobytes() for c in ("node", "copies")]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("node").take(at), b.column("dk").take(at), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["node", "dk", "body"])
+                    [rows.column(c).slice(0, 1).combine_chunks() for c in ("grp", "block", "n_blocks")]
+                    + [pa.array([x], pa.binary()) for x in (*held, size.tobytes(), pa.compress(np.concatenate(sets), "zstd", asbytes=True))],
+                    names=["grp", "block", "n_blocks", "node", "copies", "size", "body"])
     return run
 
 
@@ -296,46 +327,43 @@ def intersections(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) ->
 
 
 def _verify(similarity: float):
+    """Similar pairs between the two blocks (or inside the block) of each key."""
     limit = Fraction(str(similarity))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in group_batches(batches, "pair", least_rows=4096, least_bytes=8 << 20):
-            t = t.combine_chunks()
-            pair, side = t.column("pair").to_numpy(), t.column("side").to_numpy()
-            node, copies = t.column("node").to_numpy(), t.column("copies").to_numpy()
-            body = t.column("body")
-            buf, offsets = text_buffer(body.combine_chunks() if body.num_chunks != 1 else body.chunk(0))
+        for t in group_batches(batches, "pair", least_rows=1, least_bytes=1):
+            pair = t.column("pair").to_numpy()
             cut = np.append(np.flatnonzero(np.insert(pair[1:] != pair[:-1], 0, True)), len(pair))
-            out: list[list[np.ndarray]] = [[], [], []]
             for a, z in zip(cut[:-1], cut[1:]):
-                if z - a < 2:
-                    continue
-                sets = [buf[offsets[k]:offsets[k + 1]].copy().view(U) for k in range(a, z)]
-                size = np.array([len(s) for s in sets], np.int64)
-                own, cols, _ = sides(side[a:z])
+                sets, held = [], {"side": [], "node": [], "copies": [], "size": []}
+                for row in t.slice(a, z - a).to_pylist():
+                    size = np.frombuffer(row["size"], np.int64)
+                    flat = np.frombuffer(pa.decompress(row["body"], 8 * int(size.sum()), "zstd", asbytes=True), U)
+                    sets += np.split(flat, np.cumsum(size)[:-1])
+                    held["side"].append(np.full(len(size), row["side"]))
+                    held["size"].append(size)
+                    for c in ("node", "copies"):
+                        held[c].append(np.frombuffer(row[c], np.int64))
+                side, node, copies, size = (np.concatenate(x) for x in held.values())
+                own, cols, _ = sides(side)
                 if not len(own) or not len(cols):
                     continue
                 inter = intersections(sets, own, cols)
                 union = size[own][:, None] + size[cols][None, :] - inter
-                hit = inter * limit.denominator >= union * limit.numerator
-                full = np.zeros((z - a, z - a), bool)
-                full[np.ix_(own, cols)] = hit
+                full = np.zeros((len(side), len(side)), bool)
+                full[np.ix_(own, cols)] = inter * limit.denominator >= union * limit.numerator
                 full |= full.T
                 np.fill_diagonal(full, False)
                 linked = full.any(axis=1)
-                if not linked.any():
-                    continue
-                out[0].append(node[a:z][linked])
-                out[1].append((full @ copies[a:z].astype(np.float64)).astype(np.int64)[linked])
-                out[2].append(local_roots(full, node[a:z])[linked])
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out],
-                                                 names=["node", "n", "root"])
+                if linked.any():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(node[linked]), pa.array((full @ copies.astype(np.float64)).astype(np.int64)[linked]),
+                         pa.array(local_roots(full, node)[linked])], names=["node", "n", "root"])
     return run
 
 
-def _verify_pairs(similarity: float):
-    """Of each key's sets (side 0) and pairs (side 1: ``node``, ``other``) the
+def _verify_pairs(similarity: float, n: int):
+    """Of each key's texts (side 0) and pairs (side 1: ``node``, ``other``) the
     pairs that are similar, from both ends."""
     limit = Fraction(str(similarity))
 
@@ -344,21 +372,22 @@ def _verify_pairs(similarity: float):
             t = t.combine_chunks()
             pair, side = t.column("pair").to_numpy(), t.column("side").to_numpy()
             node, other, copies = (t.column(c).to_numpy() for c in ("node", "other", "copies"))
-            body = t.column("body")
-            buf, offsets = text_buffer(body.combine_chunks() if body.num_chunks != 1 else body.chunk(0))
+            text = t.column("text")
+            sets: dict[int, np.ndarray] = {}
+            for some, found in shingle_sets(text.combine_chunks() if text.num_chunks != 1 else text.chunk(0), n):
+                sets.update(zip(some, found))
             cut = np.append(np.flatnonzero(np.insert(pair[1:] != pair[:-1], 0, True)), len(pair))
             out: list[list[int]] = [[], [], []]
             for a, z in zip(cut[:-1], cut[1:]):
                 held = a + int((side[a:z] == 0).sum())
                 at = {int(node[k]): k for k in range(a, held)}
-                sets = {k: buf[offsets[k]:offsets[k + 1]].copy().view(U) for k in range(a, held)}
                 for k in range(held, z):
                     x, y = at.get(int(node[k])), at.get(int(other[k]))
                     if x is None or y is None:
                         continue
                     few, many = sorted((sets[x], sets[y]), key=len)
-                    found = np.minimum(np.searchsorted(many, few), len(many) - 1)
-                    inter = int((many[found] == few).sum())
+                    places = np.minimum(np.searchsorted(many, few), len(many) - 1)
+                    inter = int((many[places] == few).sum())
                     if inter * limit.denominator >= (len(few) + len(many) - inter) * limit.numerator:
                         out[0] += [int(node[x]), int(node[y])]
                         out[1] += [int(copies[y]), int(copies[x])]
@@ -393,11 +422,10 @@ def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = S
     texts = rows.where(ids & F.col("text").isNotNull()).select(F.col("doc_id").alias("node"), "dk", "text")
     own = classes.select("node", "dk", "n", "copies")
 
-    def with_bodies(placed: DataFrame) -> DataFrame:
-        """Rows ``node, dk, ..`` with the set; only members' sets move, not texts."""
+    def with_texts(placed: DataFrame) -> DataFrame:
+        """Rows ``node, dk, ..`` with the text; only members' texts move."""
         placed = scratch_table(placed)
-        wanted = docs.sparkSession.sparkContext.broadcast(sketch.members(placed, "dk", placed.count()))
-        found = texts.mapInArrow(_shingles(shingle, wanted), "node long, dk long, body binary")
+        found = only_members(texts, ["node", "dk"], placed)
         return placed.join(found if one is sets else found.dropDuplicates(["node", "dk"]), ["node", "dk"])
 
     def in_blocks(members: DataFrame) -> DataFrame:
@@ -417,17 +445,21 @@ def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = S
                                      F.greatest("block_a", "block_b")).alias("pair")))
     needed = keyed.select("pair", F.explode(F.array("a", "b")).alias("node")).distinct().join(own.drop("n"), "node")
     none = F.lit(None)
-    listed = (with_bodies(needed).select("pair", F.lit(0).alias("side"), "node", F.lit(0).cast("long").alias("other"),
-                                         "copies", "body")
+    listed = (with_texts(needed).select("pair", F.lit(0).alias("side"), "node", F.lit(0).cast("long").alias("other"),
+                                        "copies", "text")
               .unionByName(keyed.select("pair", F.lit(1).alias("side"), F.col("a").alias("node"), F.col("b").alias("other"),
-                                        F.lit(0).cast("long").alias("copies"), none.cast("binary").alias("body")))
+                                        F.lit(0).cast("long").alias("copies"), none.cast("string").alias("text")))
               .repartition("pair").sortWithinPartitions("pair", "side")
-              .mapInArrow(_verify_pairs(similarity), "node long, n long, root long"))
+              .mapInArrow(_verify_pairs(similarity, shingle), "node long, n long, root long"))
     if groups is not None:  # all pairs of large groups
         crowd = in_blocks(scratch_table(groups.withColumnRenamed("component", "grp").join(own, "node")))
+        blocks = scratch_table(
+            with_texts(crowd).withColumn("block", block.cast("int")).withColumn("key", F.xxhash64(F.lit(23), "grp", "block"))
+            .select("key", "grp", "block", "n_blocks", "node", "copies", "text").repartition("key").sortWithinPartitions("key")
+            .mapInArrow(_pack(shingle), "grp long, block int, n_blocks int, node binary, copies binary, size binary, body binary"))
         listed = listed.unionByName(
-            block_pairs(with_bodies(crowd), "grp", "node", "n_blocks")
-            .select("pair", "side", "node", "copies", "body").repartition("pair").sortWithinPartitions("pair")
+            block_pairs(blocks, "grp", "block", "n_blocks", own="block")
+            .select("pair", "side", "node", "copies", "size", "body").repartition("pair").sortWithinPartitions("pair")
             .mapInArrow(_verify(similarity), "node long, n long, root long"))
     verified = scratch_table(listed)
     linked = verified.groupBy("node").agg(F.sum("n").alias("n"))

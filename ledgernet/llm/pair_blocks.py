@@ -13,14 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def block_pairs(rows: DataFrame, group: str, member: str, n_blocks: str | Column) -> DataFrame:
+def block_pairs(rows: DataFrame, group: str, member: str, n_blocks: str | Column, own: str | None = None) -> DataFrame:
     """``rows`` with ``pair`` (a key of the group and two blocks) and ``side``
     (0/1: in the pair's first or second block; 2 if the pair is a block with
     itself), repeated for every pair that the row's block takes part in.  ``n_blocks`` is
-    constant in a group."""
+    constant in a group.  ``own``: the row's block, if it is known."""
     n = F.col(n_blocks) if isinstance(n_blocks, str) else n_blocks
     return (rows.withColumn("__n", n.cast("int"))
-            .withColumn("__own", F.pmod(F.xxhash64(F.lit(17), F.col(member)), F.col("__n")).cast("int"))
+            .withColumn("__own", (F.pmod(F.xxhash64(F.lit(17), F.col(member)), F.col("__n")) if own is None
+                                  else F.col(own)).cast("int"))
             .withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
             .withColumn("side", F.when(F.col("__own") == F.col("__other"), 2)
                         .otherwise((F.col("__own") > F.col("__other")).cast("int")))
