@@ -8,9 +8,10 @@ covers it starts with the same words in a document with a smaller ``doc_id``.
    single can be left alone and none that repeats is lost.
 2. A second pass over the texts keeps the segments whose anchors may repeat.
    Equal segments are counted as one row (map-side first), so a passage in a
-   third of all documents costs one row a task.  Segments that share an
-   anchor but not their whole content are compared window by window, by 96
-   hash bits, again aggregated before the shuffle.
+   third of all documents costs one row a task.
+3. Segments that share an anchor but not their whole content are compared
+   window by window, by 96 hash bits, again aggregated before the shuffle.  A
+   third pass over the texts makes these hashes, of one document a segment.
 
 Defined results: null text has no words; a null ``doc_id`` is neither smaller
 nor larger than another, such a row is returned unchanged; rows with the same
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ledgernet.llm import rolling
 from ledgernet.llm.common import NO_ID, keyed_text, list_array, ranges, steps, text_buffer, with_spans
-from ledgernet.llm.sketch import repeated
+from ledgernet.llm.sketch import members, repeated
 from ledgernet.session import scratch_table
 
 #: Words of a window; words of an anchor string inside it.
@@ -56,6 +57,8 @@ def _anchor_hashes(window: int, gram: int):
 
 
 def _suspects(window: int, gram: int, sketch):
+    """Segments whose anchors may repeat: their place, number of windows and
+    content; no windows, which are a multiple of that."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maybe = sketch.value
         for b in batches:
@@ -65,20 +68,40 @@ def _suspects(window: int, gram: int, sketch):
                 if not len(only):
                     continue
                 s1, s2 = seg.content(only)
-                w1, w2 = seg.windows(ranges(seg.first[only], seg.count[only]))
                 at = pa.array(seg.seq[only] + row)
                 yield pa.RecordBatch.from_arrays([
                     ids.take(at), dks.take(at),
-                    pa.array(seg.first[only] + lo - bounds[seg.seq[only]]),
+                    pa.array(seg.first[only] + lo - bounds[seg.seq[only]]), pa.array(seg.count[only]),
                     pa.array(seg.key[only].view(np.int64)),
                     pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
-                    list_array(pa.array(w1.view(np.int64)), seg.count[only]),
-                    list_array(pa.array((w2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), seg.count[only]),
-                ], names=["doc_id", "dk", "first", "kh", "s1", "s2", "w1", "w2"])
+                ], names=["doc_id", "dk", "first", "n", "kh", "s1", "s2"])
     return run
 
 
-_SUSPECT = "doc_id long, dk long, first long, kh long, s1 long, s2 long, w1 array<long>, w2 array<int>"
+def _windows(window: int, gram: int, sketch, chosen):
+    """The windows of the segments that ``chosen`` may hold (by ``s1 ^ doc_id``)
+    among those of ``_suspects``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe, wanted = sketch.value, chosen.value
+        for b in batches:
+            ids, dks = b.column("doc_id"), b.column("dk")
+            doc = ids.to_numpy().view(np.uint64)
+            for row, bounds, seg, lo in _segments(b.column("text"), window, gram):
+                only = np.flatnonzero(maybe(seg.key))
+                if not len(only):
+                    continue
+                only = only[wanted(seg.content(only)[0] ^ doc[seg.seq[only] + row])]
+                if not len(only):
+                    continue
+                w1, w2 = seg.windows(ranges(seg.first[only], seg.count[only]))
+                at = pa.array(seg.seq[only] + row)
+                yield pa.RecordBatch.from_arrays([
+                    ids.take(at), dks.take(at),
+                    pa.array(seg.first[only] + lo - bounds[seg.seq[only]]),
+                    list_array(pa.array(w1.view(np.int64)), seg.count[only]),
+                    list_array(pa.array((w2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), seg.count[only]),
+                ], names=["doc_id", "dk", "first", "w1", "w2"])
+    return run
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -91,7 +114,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     sketch = repeated(rows.select("text"), _anchor_hashes(window, gram),
                       int(total / (3 * (window - gram + 2))))
     shared = spark.sparkContext.broadcast(sketch)
-    seen = scratch_table(rows.mapInArrow(_suspects(window, gram, shared), _SUSPECT))
+    seen = scratch_table(rows.mapInArrow(_suspects(window, gram, shared), "doc_id long, dk long, first long, n long, "
+                                         "kh long, s1 long, s2 long"))
 
     kinds = seen.groupBy("kh", "s1", "s2").agg(F.min("doc_id").alias("least"))
     several = kinds.groupBy("kh").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("kh")
@@ -100,11 +124,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         seen.join(kinds, ["kh", "s1", "s2"])
         .withColumn("later", F.col("doc_id") > F.col("least"))
         .where("later OR several")
-        .select("doc_id", "dk", "first", "later", F.size("w1").alias("n"),
-                *[F.when(~F.col("later"), F.col(c)).alias(c) for c in ("w1", "w2")]))
-    whole = placed.where("later").select("doc_id", "dk", "first", F.col("n").cast("long").alias("n"))
-
-    each = (placed.where("NOT later")
+        .select("doc_id", "dk", "first", "later", "n", F.when(~F.col("later"), F.col("s1").bitwiseXOR(F.col("doc_id"))).alias("own")))
+    whole = placed.where("later").select("doc_id", "dk", "first", "n")
+
+    # hashes of the windows are made where they are compared; those of segments
+    # that ``chosen`` passes by chance are windows of the texts like others
+    first = placed.where("NOT later")
+    chosen = spark.sparkContext.broadcast(members(first, "own", first.count()))
+    each = (scratch_table(rows.mapInArrow(_windows(window, gram, shared, chosen),
+                                          "doc_id long, dk long, first long, w1 array<long>, w2 array<int>"))
             .select("doc_id", "dk", "first", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w"))
             .select("doc_id", "dk", (F.col("first") + F.col("i")).alias("first"), "w.w1", "w.w2"))
     earliest = each.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"))

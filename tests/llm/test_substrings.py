@@ -131,3 +131,31 @@ def test_long_sequences_are_cut_without_loss():
 
     assert windows(1 << 20) == windows(700)
     assert len(windows(700)) == 3971 + 971
+
+
+def test_windows_are_written_of_one_document_a_segment_that_differs(spark, monkeypatch):
+    r = random.Random(8)
+    passage = " ".join(f"w{r.randrange(10 ** 6)}" for _ in range(200))
+    rows = [(k, passage) for k in range(30)]
+    written, write = [], sub.scratch_table
+
+    def kept(df):
+        written.append(write(df))
+        return written[-1]
+
+    monkeypatch.setattr(sub, "scratch_table", kept)
+
+    def windows():
+        return sum(len(x["w1"]) for t in written if "w1" in t.columns for x in t.select("w1").collect())
+
+    # equal segments need no windows
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.n_removed for x in sub.substring_dedup(docs).collect()} == {k: 200 * (k > 0) for k in range(30)}
+    assert windows() == 0
+    # the ends of a passage in other words do, of one document each
+    written.clear()
+    rows += [(100, "a b c " + passage + " d e f"), (101, "g h i " + passage + " j k l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.n_removed for x in sub.substring_dedup(docs).collect()}
+    assert got == {k: 200 * (k > 0) for k in [*range(30), 100, 101]}
+    assert 0 < windows() < 30 * 151
