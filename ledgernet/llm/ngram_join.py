@@ -18,7 +18,9 @@ similarity of 0.8 or more.
    components only say which sets travel together, and blocks which pairs of a
    large component; no pair is formed by closure.  Pairs inside a large group
    are all verified, in blocks (``pair_blocks``) that return counts and local
-   components, not a row per pair.
+   components, not a row per pair.  A set of which less than the similarity
+   stands in other sets of its group (by a count-min sketch, which overestimates)
+   links with none of them and is left out, as are shingles of one set only.
 
 A pair at the threshold is lost if no run brings it into one bucket (``miss``;
 at 0.8, ``DEPTH`` tokens deep, 1.6e-7; one token deep 5e-11) or if its sketches
@@ -45,7 +47,7 @@ from pyspark.sql import functions as F
 from ledgernet.llm import rolling, sketch
 from ledgernet.llm.common import NO_ID, group_batches, keyed_text, steps, text_buffer
 from ledgernet.llm.components import components
-from ledgernet.llm.pair_blocks import block_pairs, local_roots, sides
+from ledgernet.llm.pair_blocks import block_pairs, sides
 from ledgernet.session import scratch_table
 
 U = np.uint64
@@ -58,6 +60,8 @@ TOKENS, RUN_BITS = 5, 4
 SKETCH_MISS = 5e-7
 #: Sets and shingles of a verification block.
 BLOCK_SETS, BLOCK_SHINGLES = 2048, 1_500_000
+#: Rows of a block that are compared at a time.
+PART_ROWS = 256
 
 _A = (rolling.mix(np.arange(1, COORDS + 1, dtype=U) * U(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1))
 _B = rolling.mix(np.arange(1001, COORDS + 1001, dtype=U)).astype(np.uint32)
@@ -272,10 +276,43 @@ def candidates(sets: DataFrame, similarity: float = SIMILARITY, runs: int = RUNS
     return scratch_table(pairs), groups
 
 
-def _pack(n: int):
+def _in_group(sets: list[np.ndarray], grp: np.ndarray) -> np.ndarray:
+    """The sets' shingles, end to end, as hashes of (group, shingle)."""
+    flat = np.concatenate(sets)
+    return rolling.mix(flat ^ np.repeat(rolling.mix(grp.view(U)), [len(s) for s in sets]))
+
+
+def _group_shingles(n: int):
+    def run(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        grp = b.column("grp").to_numpy()
+        for rows, sets in shingle_sets(b.column("text"), n):
+            yield _in_group(sets, grp[rows])
+    return run
+
+
+def _with_partners(similarity: float, n: int, shared):
+    """Rows whose set may have a similar one in its group: at least ``similarity`` of
+    a set is in such a one, so stands twice in the group."""
+    limit = Fraction(str(similarity))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may = shared.value
+        for b in batches:
+            grp = b.column("grp").to_numpy()
+            for rows, sets in shingle_sets(b.column("text"), n):
+                size = np.array([len(s) for s in sets], np.int64)
+                twice = np.add.reduceat(may(_in_group(sets, grp[rows])).astype(np.int64), np.cumsum(size) - size)
+                stay = np.array(rows)[twice * limit.denominator >= size * limit.numerator]
+                if len(stay):
+                    yield b.take(pa.array(stay))
+    return run
+
+
+def _pack(n: int, shared=None):
     """Of each block of texts (sorted by ``key``) a row: ``node``, ``copies`` and
-    ``size`` of its sets, and the sets themselves, compressed: near copies, which share
-    most of what they hold, stand next to each other."""
+    ``size`` of its sets, and of the sets themselves what ``shared`` may hold (no other
+    set of the group has the rest), ``held`` shingles each, compressed: near copies, which
+    share most of what they hold, stand next to each other."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in group_batches(batches, "key", least_rows=1, least_bytes=1):
             t = t.combine_chunks()
@@ -289,12 +326,17 @@ def _pack(n: int):
                     sets += found
                 order = np.argsort([s[0] for s in sets], kind="stable")  # near copies next to each other
                 at, sets = np.array(at)[order], [sets[k] for k in order]
-                size = np.array([len(s) for s in sets], np.int64)
-                held = [rows.column(c).to_numpy()[at].tobytes() for c in ("node", "copies")]
+                size = held = np.array([len(s) for s in sets], np.int64)
+                flat = np.concatenate(sets)
+                if shared is not None:
+                    keep = shared.value(_in_group(sets, rows.column("grp").to_numpy()[at]))
+                    flat, held = flat[keep], np.add.reduceat(keep.astype(np.int64), np.cumsum(size) - size)
+                named = [rows.column(c).to_numpy()[at].tobytes() for c in ("node", "copies")]
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(c).slice(0, 1).combine_chunks() for c in ("grp", "block", "n_blocks")]
-                    + [pa.array([x], pa.binary()) for x in (*held, size.tobytes(), pa.compress(np.concatenate(sets), "zstd", asbytes=True))],
-                    names=["grp", "block", "n_blocks", "node", "copies", "size", "body"])
+                    + [pa.array([x], pa.binary()) for x in (*named, size.tobytes(), held.tobytes(),
+                                                            pa.compress(flat, "zstd", asbytes=True))],
+                    names=["grp", "block", "n_blocks", "node", "copies", "size", "held", "body"])
     return run
 
 
@@ -302,27 +344,30 @@ def intersections(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) ->
     """Sizes of the intersections of sets ``rows`` x ``cols``, by bit maps over
     the values that at least two sets hold."""
     flat = np.concatenate(sets)
-    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    of = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
     values, at, count = np.unique(flat, return_inverse=True, return_counts=True)
     shared = count > 1
-    place = (np.cumsum(shared) - 1)[at]
+    place = (np.cumsum(shared) - 1).astype(np.int32)[at]
     keep = shared[at]
     of, place = of[keep], place[keep]
-    out = np.zeros((len(rows), len(cols)), np.int64)
+    wide = int(shared.sum())
+    del flat, values, at, count, shared, keep
+    out = np.zeros((len(rows), len(cols)), np.int32)
     chunk = 8192
     by = np.argsort(place // chunk, kind="stable")
     of, place = of[by], place[by]
-    cuts = np.searchsorted(place // chunk, np.arange(int(shared.sum()) // chunk + 2))
+    cuts = np.searchsorted(place // chunk, np.arange(wide // chunk + 2))
     for c, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])):
         if a == z:
             continue
-        wide = min(chunk, -(-int(place[a:z].max() - c * chunk + 1) // 64) * 64)
-        bits = np.zeros((len(sets), wide), bool)
+        held = min(chunk, -(-int(place[a:z].max() - c * chunk + 1) // 64) * 64)
+        bits = np.zeros((len(sets), held), bool)
         bits[of[a:z], place[a:z] - c * chunk] = True
         words = np.packbits(bits, axis=1).view(np.uint64)
+        del bits
         left, right = words[rows], words[cols]
-        for k in range(len(rows)):
-            out[k] += np.bitwise_count(left[k] & right).sum(axis=1, dtype=np.int64)
+        for k in np.flatnonzero(left.any(axis=1)):
+            out[k] += np.bitwise_count(left[k] & right).sum(axis=1, dtype=np.int32)
     return out
 
 
@@ -335,30 +380,39 @@ def _verify(similarity: float):
             pair = t.column("pair").to_numpy()
             cut = np.append(np.flatnonzero(np.insert(pair[1:] != pair[:-1], 0, True)), len(pair))
             for a, z in zip(cut[:-1], cut[1:]):
-                sets, held = [], {"side": [], "node": [], "copies": [], "size": []}
+                sets, named = [], {"side": [], "node": [], "copies": [], "size": []}
                 for row in t.slice(a, z - a).to_pylist():
-                    size = np.frombuffer(row["size"], np.int64)
-                    flat = np.frombuffer(pa.decompress(row["body"], 8 * int(size.sum()), "zstd", asbytes=True), U)
-                    sets += np.split(flat, np.cumsum(size)[:-1])
-                    held["side"].append(np.full(len(size), row["side"]))
-                    held["size"].append(size)
-                    for c in ("node", "copies"):
-                        held[c].append(np.frombuffer(row[c], np.int64))
-                side, node, copies, size = (np.concatenate(x) for x in held.values())
-                own, cols, _ = sides(side)
+                    held = np.frombuffer(row["held"], np.int64)
+                    flat = np.frombuffer(pa.decompress(row["body"], 8 * int(held.sum()), "zstd", asbytes=True), U)
+                    sets += np.split(flat, np.cumsum(held)[:-1])
+                    named["side"].append(np.full(len(held), row["side"]))
+                    for c in ("node", "copies", "size"):
+                        named[c].append(np.frombuffer(row[c], np.int64))
+                side, node, copies, size = (np.concatenate(x) for x in named.values())
+                own, cols, same = sides(side)
                 if not len(own) or not len(cols):
                     continue
+                n, root = np.zeros(len(node), np.int64), node.copy()
                 inter = intersections(sets, own, cols)
-                union = size[own][:, None] + size[cols][None, :] - inter
-                full = np.zeros((len(side), len(side)), bool)
-                full[np.ix_(own, cols)] = inter * limit.denominator >= union * limit.numerator
-                full |= full.T
-                np.fill_diagonal(full, False)
-                linked = full.any(axis=1)
+                for start in range(0, len(own), PART_ROWS):
+                    some = own[start:start + PART_ROWS]
+                    # of sizes s and t, i in common: i / (s + t - i) >= p / q
+                    full = (inter[start:start + PART_ROWS].astype(np.int64) * (limit.denominator + limit.numerator)
+                            >= (size[some][:, None] + size[cols][None, :]) * limit.numerator)
+                    if same:
+                        full[np.arange(len(some)), some] = False
+                    for k in np.flatnonzero(full.any(axis=1)):
+                        links = cols[full[k]]
+                        n[some[k]] += copies[links].sum()
+                        if not same:
+                            n[links] += copies[some[k]]
+                        labels = np.append(root[links], root[some[k]])
+                        least = labels.min()
+                        for label in np.unique(labels[labels != least]):
+                            root[root == label] = least
+                linked = n > 0
                 if linked.any():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(node[linked]), pa.array((full @ copies.astype(np.float64)).astype(np.int64)[linked]),
-                         pa.array(local_roots(full, node)[linked])], names=["node", "n", "root"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[linked]) for x in (node, n, root)], names=["node", "n", "root"])
     return run
 
 
@@ -452,14 +506,20 @@ def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = S
               .repartition("pair").sortWithinPartitions("pair", "side")
               .mapInArrow(_verify_pairs(similarity, shingle), "node long, n long, root long"))
     if groups is not None:  # all pairs of large groups
-        crowd = in_blocks(scratch_table(groups.withColumnRenamed("component", "grp").join(own, "node")))
+        crowd = scratch_table(with_texts(groups.withColumnRenamed("component", "grp").join(own, "node")))
+        # most sets of a group may have only a common passage: what no other set has isn't
+        # compared, nor a set of too much of it
+        twice = rows.sparkSession.sparkContext.broadcast(sketch.repeated(
+            crowd.select("grp", "text"), _group_shingles(shingle), crowd.agg(F.sum("n")).first()[0] or 0))
+        crowd = in_blocks(scratch_table(crowd.mapInArrow(_with_partners(similarity, shingle, twice), crowd.schema)))
         blocks = scratch_table(
-            with_texts(crowd).withColumn("block", block.cast("int")).withColumn("key", F.xxhash64(F.lit(23), "grp", "block"))
+            crowd.withColumn("block", block.cast("int")).withColumn("key", F.xxhash64(F.lit(23), "grp", "block"))
             .select("key", "grp", "block", "n_blocks", "node", "copies", "text").repartition("key").sortWithinPartitions("key")
-            .mapInArrow(_pack(shingle), "grp long, block int, n_blocks int, node binary, copies binary, size binary, body binary"))
+            .mapInArrow(_pack(shingle, twice), "grp long, block int, n_blocks int, node binary, copies binary, size binary, "
+                        "held binary, body binary"))
         listed = listed.unionByName(
             block_pairs(blocks, "grp", "block", "n_blocks", own="block")
-            .select("pair", "side", "node", "copies", "size", "body").repartition("pair").sortWithinPartitions("pair")
+            .select("pair", "side", "node", "copies", "size", "held", "body").repartition("pair").sortWithinPartitions("pair")
             .mapInArrow(_verify(similarity), "node long, n long, root long"))
     verified = scratch_table(listed)
     linked = verified.groupBy("node").agg(F.sum("n").alias("n"))
