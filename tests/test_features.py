@@ -96,3 +96,21 @@ def test_roots_pushdown_gives_same_rows(micro):
     s_full = {r["node"]: r.asDict() for r in feat.simple_node_features(e, n).collect()}
     s_part = {r["node"]: r.asDict() for r in feat.simple_node_features(e, n, roots=roots).collect()}
     assert all(s_part[k] == s_full[k] for k in s_part)
+
+
+def test_hubs_null_times_and_null_nodes_among_small_nodes(spark):
+    import random
+
+    r = random.Random(6)
+    rows = [(r.choice((1, 1, 1, 2, 3, 4, None)), r.choice((1, 2, 3, 5, None)), r.choice((None, 0, 60, 60, 90, 300, 4000)),
+             r.choice((None, 0.0, -2.5, 3.0, 10.0))) for _ in range(120)]
+    e = spark.createDataFrame(rows, "source long, target long, timestamp long, amount double")
+    a, b, c = ({x["node"]: {k: v for k, v in x.asDict().items() if k != "node"} for x in tx.transaction_features(e, rows_per_bucket=n).collect()}
+               for n in (1 << 20, 60, 1))
+    assert set(a) == {1, 2, 3, 4, 5, None}
+    _check(b, a)   # the hub node 1 apart
+    _check(c, a)   # each node a hub
+    times = sorted(x[2] for x in rows if 4 in x[:2] and x[2] is not None)
+    timeless = sum(1 for x in rows if 4 in x[:2] and x[2] is None)
+    assert _close(a[4]["sum_all_tx_interval"], (times[-1] - times[0]) / 60)
+    assert _close(a[4]["avg_all_tx_interval"], (times[-1] - times[0]) / 60 / (len(times) - 1 + max(0, timeless - 1)))

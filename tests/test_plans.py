@@ -54,3 +54,9 @@ def test_fixture_scan_is_pruned_and_whole(spark):
     assert nodes.count() == fx.ACCOUNTS * fx.table(spark, folder, "customer").count()
     assert edges.join(nodes, edges["target"] == nodes["node"], "left_anti").isEmpty()
     assert edges.join(nodes, edges["source"] == nodes["node"], "left_anti").isEmpty()
+
+
+def test_nodes_without_a_hub_are_dealt_once(spark, micro):
+    e, _ = micro
+    plan = _plan(tx.transaction_features(e))
+    assert plan.count("Exchange") == 1 and plan.count("Window ") == 1, plan
