@@ -18,7 +18,7 @@ from ledgernet.llm import language_id as lid
 from ledgernet.llm import mixing, ngram_join, packing, substring_dedup
 from ledgernet.llm.common import NO_ID, table, text_key
 from ledgernet.llm.registry import WORD_END, WORD_VOCABULARY, vocabulary
-from ledgernet.session import ensure_checkpoint_dir
+from ledgernet.session import ensure_checkpoint_dir, scratch_table
 
 #: Tempering of the marginals in the mixing stage.
 TEMPER = 0.9
@@ -32,8 +32,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the smallest id.  Rows
     that share an id are one document; the smallest row text stays."""
-    kept = ngram_join.ngram_join(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept"))
-    out = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
+    gone = scratch_table(ngram_join.ngram_join(docs).where("NOT kept AND doc_id IS NOT NULL").select(
+        F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")))
+    may, stay = ngram_join.by_membership(docs.where("doc_id IS NOT NULL"), ["doc_id"], gone)  # only these are shuffled
+    out = stay.unionByName(may.join(gone, "doc_id", "left_anti").select(*docs.columns))
     repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
     if not repeated.isEmpty():
         columns = docs.columns

@@ -221,18 +221,26 @@ def _allowed(x, y, node, n, large, sig, least: int, limit: Fraction) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
-def only_members(rows: DataFrame, columns: list[str], of: DataFrame) -> DataFrame:
-    """``rows`` whose key ``columns`` may be among the table ``of``'s, before a
-    join that drops the others: those are not shuffled."""
+def by_membership(rows: DataFrame, columns: list[str], of: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose key ``columns`` may be among the table ``of``'s, and the others,
+    whose keys are not: these need no join."""
     h = F.xxhash64(*columns).alias("__h")
     wanted = rows.sparkSession.sparkContext.broadcast(sketch.members(of.select(h), "__h", of.count()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may = wanted.value
-        for b in batches:
-            at = np.flatnonzero(may(b.column("__h").to_numpy().view(U)))
-            yield b.take(pa.array(at)).select(b.schema.names[:-1])
-    return rows.select("*", h).mapInArrow(run, rows.schema)
+    def chosen(member: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            may = wanted.value
+            for b in batches:
+                at = np.flatnonzero(may(b.column("__h").to_numpy().view(U)) == member)
+                yield b.take(pa.array(at)).select(b.schema.names[:-1])
+        return rows.select("*", h).mapInArrow(run, rows.schema)
+    return chosen(True), chosen(False)
+
+
+def only_members(rows: DataFrame, columns: list[str], of: DataFrame) -> DataFrame:
+    """``rows`` whose key ``columns`` may be among the table ``of``'s, before a
+    join that drops the others: those are not shuffled."""
+    return by_membership(rows, columns, of)[0]
 
 
 def candidates(sets: DataFrame, similarity: float = SIMILARITY, runs: int = RUNS, depth: int = DEPTH,

@@ -72,3 +72,18 @@ def test_a_pair_of_full_blocks_is_verified_in_bounded_memory():
     tracemalloc.stop()
     assert found == {k: (2048, 0) for k in range(4096)}
     assert peak < 150 << 20
+
+
+def test_near_duplicates_shuffles_no_document_that_stays(spark):
+    import corpus_pipeline
+
+    rows = [(k, f"s{k}", " ".join(f"w{k}_{j}" for j in range(30))) for k in range(400)]
+    rows += [(1000 + k, "copy", rows[k][2]) for k in range(5)] + [(None, "n", rows[0][2])]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([*rows[:400], rows[-1]], key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and "LeftAnti" in plan and "Union" in plan
+    may, others = ng.by_membership(docs.where("doc_id IS NOT NULL"), ["doc_id"], docs.where("source = 'copy'"))
+    assert {r.doc_id for r in may.collect()} >= {1000 + k for k in range(5)} and others.count() > 300
+    assert may.count() + others.count() == 405
